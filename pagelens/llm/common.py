@@ -8,8 +8,11 @@ bounds a Python worker's memory whatever Spark's batch size is.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
+import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +46,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As checkpointed(), as a Parquet table: smaller, and read by column; removed when the driver ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append((weakref.ref(spark), path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[tuple[weakref.ref, str]] = []
+
+
+@atexit.register
+def drop_stored() -> None:
+    """Removes the tables that stored() has written; nothing that reads them may run later."""
+    while _STORED:
+        session, path = _STORED.pop()
+        try:
+            jvm = session().sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session().sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
+            return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pagelens.llm.ngram_join import op3_ngram_jaccard
+from pagelens.llm.suffix_dedup import op10_suffix_array
 
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}
