@@ -58,7 +58,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         "source",
         f"filter(split(text, '{blank}+'), x -> x <> '') AS w",
         f"filter(split(text, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS lines",
-        r"CAST(length(translate(text, ' \t\n\u000B\f\r', '')) AS BIGINT) AS word_chars",
+        r"CAST(length(translate(text, ' \t\n\u000B\u000C\r', '')) AS BIGINT) AS word_chars",
         "CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols",
     )
     return df.selectExpr("doc_id", "lang", "source", "CAST(size(w) AS BIGINT) AS n_words", "word_chars", "n_symbols", "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines", f"{_REPEATED} AS n_repeat_words").withColumn(

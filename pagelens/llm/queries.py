@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pagelens.llm.ngram_join import op3_ngram_jaccard
+from pagelens.llm.packing import op1_packing
+from pagelens.llm.quality_rules import op4_quality_rules
 from pagelens.llm.suffix_dedup import op10_suffix_array
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_quality_rules": op4_quality_rules,
     "op10_suffix_array": op10_suffix_array,
 }
 
