@@ -3,11 +3,12 @@
 Sets are the distinct n-word shingles of lower-cased texts. Equal sets are one
 node from the start. Every set enters an inverted index with its prefix only
 (so many of its shingles that two linked sets must meet in one list), rare
-shingles first: shingles found often in some block of documents go last.
+shingles first: shingles that repeat in some block of documents go last.
 
-Index-level skipping: each list is ordered by set size and cut into blocks by
-size. A set meets only its own block and the one before, and skips the latter
+Index-level skipping: each list is ordered by set size and read in blocks of
+sizes. A set meets only its own block and the one before, and skips the latter
 if the position of the shared shingle in both leaves too few shingles behind it.
+Pairs from short lists are skipped if they share too few lists.
 
 Answer-level skipping: a block's first set is its leader. All overlaps with the
 leader are computed once; a set that links to the leader has its answers from
@@ -38,7 +39,9 @@ from pagelens.llm import common as C
 #: Most shingles that go last in the order; a bound for what the driver sends out. It affects speed only.
 MOST_FREQUENT = 300_000
 #: A shingle counts as frequent in a block of so many shingles if so many of its documents hold it.
-BLOCK_SHINGLES, FREQUENT = 4_000_000, 4
+BLOCK_SHINGLES, FREQUENT = 4_000_000, 2
+#: Lists of up to so many sets give pairs.
+SHORT = 32
 #: Shingles of the sets that one task compares with each other at once.
 GROUP_SHINGLES = 1_000_000
 
@@ -114,52 +117,108 @@ def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return C.arrow_map(docs.select("text"), run, "token long, fp long, n int, pos int")
 
 
-def leaders(index: DataFrame, percent: int) -> DataFrame:
-    """Sets that may link, as members of their list's block: (lead_fp, lead_n, fp, n); the lists are read in order and never held."""
+def leaders(index: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
+    """Sets that may link, as members of groups: (lead_fp, lead_n, fp, n).
+
+    Short lists give all their pairs, and a pair's lists are counted: of the
+    shingles up to where one prefix ends, both prefixes hold all that the sets
+    share, so a pair with too few common lists can't link and is skipped. Long
+    lists give blocks with leaders; in their pairs' counts, every long list of
+    a set counts as common. Lists are read in order; no more than `short` of
+    one are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = seen = lead = before = None
-        rest = most = 0
+        token = None
+        held: list[tuple[int, int, int]] = []
+        lead = before = seen = None
+        rest = most = rest_before = most_before = 0
+        pairs: list[tuple[int, int, int, int]] = []
+        grouped: list[tuple[int, int, int, int]] = []
+        counted: list[tuple[int, int]] = []
+
+        def place(f: int, size: int, p: int) -> None:
+            """The next set of a long list."""
+            nonlocal lead, before, rest, most, rest_before, most_before
+            counted.append((f, size))
+            if lead is None or size * percent > lead[1] * 100:
+                before, rest_before, most_before = lead, rest, most
+                lead, rest, most = (f, size), 0, 0
+            else:
+                grouped.append((*lead, f, size))
+            # the block before: skipped if no set there is long enough, or too few shingles follow this one
+            if before and size * percent <= most_before * 100 and (100 + percent) * min(size - p, rest_before) >= percent * (size + before[1]):
+                grouped.append((*before, f, size))
+            rest, most = max(rest, size - p), size
+
+        def close() -> None:
+            nonlocal lead, before, rest, most
+            if lead is None:
+                for i, (f, size, _) in enumerate(held):
+                    for g, other, _ in held[i + 1 :]:
+                        if other * percent > size * 100:
+                            break
+                        pairs.append((f, size, g, other))
+            held.clear()
+            lead = before = None
+            rest = most = 0
+
         for batch in batches:
             t, fp, n, pos = (c.to_numpy() for c in batch.columns)
-            same = np.zeros(len(t), dtype=bool)
-            same[1:] = t[1:] == t[:-1]
-            same[0] = t[0] == token
-            live = same.copy()
-            live[:-1] |= same[1:]
-            live[-1] = True  # its list may go on in the next batch
-            out: list[tuple[int, int, int, int]] = []
+            live = np.ones(len(t), dtype=bool)
+            if len(t) > 1:
+                same = t[1:] == t[:-1]
+                live[1:-1] = same[:-1] | same[1:]
             at = np.flatnonzero(live)
             for tk, f, size, p in zip(t[at].tolist(), fp[at].tolist(), n[at].tolist(), pos[at].tolist(), strict=True):
                 if tk != token:
-                    token, seen, lead, before = tk, (f, size), (f, size), None
-                    rest = most = 0
-                elif seen == (f, size):
+                    close()
+                    token, seen = tk, None
+                if seen == (f, size):
                     continue
-                else:
-                    seen = (f, size)
-                    if size * percent > lead[1] * 100:
-                        before, lead, rest_before, most_before = lead, seen, rest, most
-                        rest = most = 0
-                    else:
-                        out.append((*lead, f, size))
-                    if before and size * percent <= most_before * 100 and (100 + percent) * min(size - p, rest_before) >= percent * (size + before[1]):
-                        out.append((*before, f, size))
-                rest, most = max(rest, size - p), size
-            if out:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["lead_fp", "lead_n", "fp", "n"])
+                seen = (f, size)
+                if lead is not None:
+                    place(f, size, p)
+                    continue
+                held.append((f, size, p))
+                if len(held) > short:
+                    for x in held:
+                        place(*x)
+                    held.clear()
+            if len(pairs) + len(grouped) + len(counted) > 200_000:
+                yield from _counted_rows(pairs, grouped, counted)
+        close()
+        yield from _counted_rows(pairs, grouped, counted)
 
     dealt = index.repartition("token").sortWithinPartitions("token", "n", "fp", "pos")
-    return C.arrow_map(dealt, run, "lead_fp long, lead_n long, fp long, n long").distinct()
-
-
-def solve(texts: list[bytes], n: int, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    found = C.checkpointed(C.arrow_map(dealt, run, "kind int, lead_fp long, lead_n long, fp long, n long, c long").groupBy("kind", "lead_fp", "lead_n", "fp", "n").agg(F.sum("c").alias("c")))
+    long_lists = found.where("kind = 2").select("fp", "n", "c")
+    pairs = found.where("kind = 0")
+    for end, (f, size) in {"a": ("lead_fp", "lead_n"), "b": ("fp", "n")}.items():
+        own = long_lists.select(F.col("fp").alias("f"), F.col("n").alias("s"), F.col("c").alias(f"long_{end}"))
+        pairs = pairs.join(own, (F.col(f) == F.col("f")) & (F.col(size) == F.col("s")), "left").drop("f", "s")
+    common = F.col("c") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    behind = F.ceil(F.greatest("lead_n", "n") * percent / 100) - 1
+    pairs = pairs.where((100 + percent) * (common + behind) >= percent * (F.col("lead_n") + F.col("n")))
+    columns = ["lead_fp", "lead_n", "fp", "n"]
+    return pairs.select(*columns).unionByName(found.where("kind = 1").select(*columns)).distinct()
+
+
+def _counted_rows(pairs: list, grouped: list, counted: list) -> Iterator[pa.RecordBatch]:
+    """The rows so far, equal ones counted; the lists are emptied."""
+    for kind, rows in enumerate((pairs, grouped, [(0, 0, *x) for x in counted])):
+        if rows:
+            x = np.array(rows, dtype=np.int64)
+            key = C.mix(C.mix(C.mix(x[:, 0].view(np.uint64)) ^ x[:, 2].view(np.uint64)) ^ (x[:, 1] << 32 | x[:, 3]).view(np.uint64))
+            _, at, count = np.unique(key, return_index=True, return_counts=True)
+            yield pa.record_batch([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(np.ascontiguousarray(x[at, k])) for k in range(4)), pa.array(count)], ["kind", "lead_fp", "lead_n", "fp", "n", "c"])
+    pairs.clear(), grouped.clear(), counted.clear()
+
+
+def solve(h: np.ndarray, begin: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that connect what links connect, for sets of which the first is the leader; and which others don't link to it."""
-    off = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=off[1:])
-    h, begin = C.doc_sets(np.frombuffer(b"".join(texts), np.uint8), off, n)
     size = np.diff(begin)
-    m, lead = len(texts), h[: begin[1]]
+    m, lead = len(size), h[: begin[1]]
     doc = np.repeat(np.arange(m), size)
     at = np.minimum(np.searchsorted(lead, h), len(lead) - 1)
     inside = lead[at] == h
@@ -202,25 +261,40 @@ def compared(groups: DataFrame, n: int, percent: int) -> DataFrame:
     """Links within groups of (lead_fp, lead_n, chunk) and, flagged, (leader, set) of those that don't link to their leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key = None
+        held: list[tuple[int, int, bytes]] = []
+        texts: set[bytes] = set()
 
         def flush() -> pa.RecordBatch | None:
-            if len(held) < 2 or (held[0][0], held[0][1]) != key[:2]:
+            off = np.zeros(len(held) + 1, np.int64)
+            np.cumsum([len(x[2]) for x in held], out=off[1:])
+            h, begin = C.doc_sets(np.frombuffer(b"".join(x[2] for x in held), np.uint8), off, n)
+            # rows that share a doc_id with others have brought those rows' texts too
+            own = _fingerprints(h, begin).view(np.int64) == np.array([x[0] for x in held])
+            rows = [i for i in range(len(held)) if own[i] and (not i or not own[i - 1] or held[i][:2] != held[i - 1][:2])]
+            if len(rows) < 2 or held[rows[0]][:2] != key[:2]:
                 return None
-            edges, loose = solve([x[2] for x in held], n, percent)
-            out = [(*held[a][:2], *held[b][:2], False) for a, b in edges] + [(*key[:2], *held[j][:2], True) for j in loose.tolist()]
+            if len(rows) < len(held):
+                h = np.concatenate([h[begin[i] : begin[i + 1]] for i in rows])
+                begin = np.concatenate([[0], np.cumsum(np.diff(begin)[rows])])
+            edges, loose = solve(h, begin, percent)
+            node = [held[i][:2] for i in rows]
+            out = [(*node[a], *node[b], False) for a, b in edges] + [(*key[:2], *node[j], True) for j in loose.tolist()]
             return pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), EDGE, strict=True)], schema=EDGE) if out else None
 
         for batch in batches:
             lf, ln, ch, _, fp, size, text = (c.to_pylist() for c in batch.columns)
             for row in zip(lf, ln, ch, fp, size, text, strict=True):
                 if row[:3] != key:
-                    if held and (done := flush()):
+                    if len(held) > 1 and (done := flush()):
                         yield done
                     key, held = row[:3], []
                 if not held or held[-1][:2] != row[3:5]:
+                    texts = set()
+                if row[5] not in texts:
+                    texts.add(row[5])
                     held.append(row[3:])
-        if held and (done := flush()):
+        if len(held) > 1 and (done := flush()):
             yield done
 
     dealt = groups.repartition("lead_fp", "lead_n", "chunk").sortWithinPartitions("lead_fp", "lead_n", "chunk", "other", "fp", "n")
@@ -229,20 +303,20 @@ def compared(groups: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _with_texts(groups: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = groups.select("fp", "n").distinct().join(classes, ["fp", "n"]).select("fp", "n", "rep")
-    texts = docs.join(nodes, docs.doc_id == nodes.rep).dropDuplicates(["fp", "n"]).select("fp", "n", "text")
+    texts = docs.join(nodes, docs.doc_id == nodes.rep).select("fp", "n", "text")
     return groups.join(texts, ["fp", "n"])
 
 
-def link_components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def link_components(documents: DataFrame, n: int = 4, percent: int = 85, short: int = SHORT, group: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of `documents` (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     sets = C.checkpointed(signatures(docs, n))
     classes = C.checkpointed(sets.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")))
 
-    members = C.checkpointed(leaders(postings(named, n, percent), percent))
+    members = C.checkpointed(leaders(postings(named, n, percent), percent, short))
     lead = F.struct("lead_fp", "lead_n")
-    load = members.groupBy("lead_fp", "lead_n").agg(F.sum("n").alias("load")).withColumn("chunks", F.ceil(F.col("load") / GROUP_SHINGLES).cast("int"))
+    load = members.groupBy("lead_fp", "lead_n").agg(F.sum("n").alias("load")).withColumn("chunks", F.ceil(F.col("load") / group).cast("int"))
     load = C.checkpointed(load)
     split = members.join(load, ["lead_fp", "lead_n"]).withColumn("chunk", F.pmod(F.xxhash64("fp", "n"), F.col("chunks")))
     heads = load.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("lead_fp", "lead_n", F.col("chunk").cast("long").alias("chunk"), F.lit(False).alias("other"), F.col("lead_fp").alias("fp"), F.col("lead_n").alias("n"))
@@ -254,7 +328,7 @@ def link_components(documents: DataFrame, n: int = 4, percent: int = 85) -> Data
         # sets of split groups that don't link to their leader meet the group's other chunks
         loose = found.where("loose").select(F.col("a_fp").alias("lead_fp"), F.col("a_n").alias("lead_n"), F.col("b_fp").alias("fp"), F.col("b_n").alias("n")).distinct()
         loose = loose.join(load.where("chunks > 1"), ["lead_fp", "lead_n"])
-        parts = loose.groupBy("lead_fp", "lead_n").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
+        parts = loose.groupBy("lead_fp", "lead_n").agg(F.ceil(F.sum("n") / group).cast("int").alias("parts"))
         cell = (F.col("c") * F.lit(1 << 20) + F.col("p")).cast("long").alias("chunk")
         row = ["lead_fp", "lead_n", cell, F.lit(True).alias("other"), "fp", "n"]
         base = split.where("chunks > 1").join(parts, ["lead_fp", "lead_n"]).withColumn("c", F.col("chunk")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*row)
