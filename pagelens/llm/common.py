@@ -249,3 +249,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component")
+
+
+_FOLD = np.full(256, 32, dtype=np.uint8)
+_FOLD[97:123] = np.arange(97, 123)
+_FOLD[65:91] = np.arange(97, 123)
+_FOLD[128:] = np.arange(128, 256)
+
+
+def folded(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with Latin letters in lower case and other ASCII characters as spaces."""
+    out = _FOLD[raw]
+    if len(raw) > 1:
+        upper = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        out[1:][upper] += 32
+    return out
+
+
+def with_letters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    total = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122), out=total[1:])
+    out = total[off[1:]] > total[off[:-1]]
+    for i in np.flatnonzero(~out):
+        out[i] = any(c.isalpha() for c in raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
+    return out
