@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from pagelens.llm.decontamination import op5_decontamination
 from pagelens.llm.language_id import op7_language_id
 from pagelens.llm.ngram_join import op3_ngram_jaccard
 from pagelens.llm.packing import op1_packing
 from pagelens.llm.quality_rules import op4_quality_rules
 from pagelens.llm.suffix_dedup import op10_suffix_array
 from pagelens.llm.toxicity import op2_toxicity
+from pagelens.llm.url_filters import op9_url_filters
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
+    "op9_url_filters": op9_url_filters,
     "op10_suffix_array": op10_suffix_array,
 }
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_LIFT = 8192, 4, 20.0, 3.0
+MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_LIFT = 8192, 4, 40.0, 5.0
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.3
 #: Queries whose results a worker keeps.
 KEPT_QUERIES = 100_000
