@@ -29,6 +29,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+LOWER_TABLE = bytes(_LOWER)
 _U = np.uint64
 _C1, _C2, _GOLD, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 

@@ -6,6 +6,7 @@ from pagelens.llm.decontamination import op5_decontamination
 from pagelens.llm.language_id import op7_language_id
 from pagelens.llm.ngram_join import op3_ngram_jaccard
 from pagelens.llm.packing import op1_packing
+from pagelens.llm.passages import op6_substring_dedup
 from pagelens.llm.quality_rules import op4_quality_rules
 from pagelens.llm.suffix_dedup import op10_suffix_array
 from pagelens.llm.toxicity import op2_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_suffix_array": op10_suffix_array,
