@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagelens.llm.decontamination import op5_decontamination
 from pagelens.llm.language_id import op7_language_id
+from pagelens.llm.lm_scoring import op8_lm_scoring
 from pagelens.llm.ngram_join import op3_ngram_jaccard
 from pagelens.llm.packing import op1_packing
 from pagelens.llm.passages import op6_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filters": op9_url_filters,
     "op10_suffix_array": op10_suffix_array,
 }
