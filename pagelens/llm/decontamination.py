@@ -163,16 +163,36 @@ def _hits(docs: DataFrame, items: Items) -> DataFrame:
     return C.arrow_map(docs, run, SCHEMA)
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS_AT_ONCE) -> DataFrame:
-    """Hits (doc_id, item_id, start_word, n_words, similarity), the best window for each document and item."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _blocks(benchmark: DataFrame, words: int, similarity: float, radius: int, block: int) -> Iterator[Items]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     parts = max(1, -(-items.count() // block))
-    passes = []
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow().sort_by([("item_id", "ascending")])
-        passes.append(_hits(docs, Items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words, similarity, radius)))
-    return reduce(DataFrame.unionByName, passes)
+        yield Items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words, similarity, radius)
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS_AT_ONCE) -> DataFrame:
+    """Hits (doc_id, item_id, start_word, n_words, similarity), the best window for each document and item."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [_hits(docs, items) for items in _blocks(benchmark, words, similarity, radius, block)])
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS_AT_ONCE) -> DataFrame:
+    """The rows of `documents`, with all their columns, in which no item is found."""
+    at = documents.columns.index("text")
+
+    def passed(df: DataFrame, items: Items) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, raw, off in C.pieces(batches, at):
+                keep = np.ones(part.num_rows, dtype=bool)
+                keep[[d for d, _ in sent.value.found(raw, off)]] = False
+                yield part.filter(pa.array(keep))
+
+        return df.mapInArrow(run, df.schema)
+
+    return reduce(passed, _blocks(benchmark, words, similarity, radius, block), documents)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelens.llm import common as C
 
@@ -347,5 +348,17 @@ def link_components(documents: DataFrame, n: int = 4, percent: int = 85, short:
     return placed.join(nodes, placed.rep == nodes.node, "left").select(placed.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", placed.doc_id).alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The rows of `documents`, with all their columns, that stay: of each component the smallest doc_id, of rows with one doc_id one.
+
+    Rows with a null doc_id stay.
+    """
+    found = link_components(documents, **options)
+    gone = C.checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    left = documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    which = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*documents.columns))
+    return left.withColumn("_row", F.row_number().over(which)).where("_row = 1 or doc_id is null").select(*documents.columns)
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return link_components(C.table(spark, sf_dir, "documents"))

@@ -243,11 +243,6 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def packed_documents(documents: DataFrame) -> DataFrame:
-    """All documents in sequences of 2048, with a checksum of each piece's ids."""
-    out = pack(documents.select("doc_id", "text"), vocabulary())
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    return packed_documents(C.table(spark, sf_dir, "documents"))
+    out = pack(C.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

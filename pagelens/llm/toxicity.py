@@ -201,6 +201,23 @@ def scored(documents: DataFrame, labels: DataFrame, per_label: int = 3000) -> Da
     return C.arrow_map(docs, run, "doc_id long, held_out boolean, score double, evidence array<long>, similarity array<double>")
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.3, per_label: int = 3000) -> DataFrame:
+    """The rows of `documents`, with all their columns, whose score is below the limit."""
+    sent = documents.sparkSession.sparkContext.broadcast(learned(documents, labels, per_label))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for part, raw, off in C.pieces(batches, at):
+            if index is not None:
+                term, doc, count = index.known(*terms(raw, off))
+                x = np.searchsorted(doc, np.arange(len(off)))
+                part = part.filter(pa.array([index.scored(term[a:b], count[a:b])[0] < limit for a, b in zip(x[:-1].tolist(), x[1:].tolist(), strict=True)]))
+            yield part
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     out = scored(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence", "similarity")
