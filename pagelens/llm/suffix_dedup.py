@@ -36,7 +36,7 @@ from pagelens.llm import common as C
 #: Bytes of an anchor.
 KMER = 32
 #: Bytes of pieces that are sorted at once; a single group of pieces may be larger.
-SORT_BYTES = 160_000
+SORT_BYTES = 100_000
 
 
 def _kmer_hashes(raw: np.ndarray) -> np.ndarray:
@@ -116,7 +116,8 @@ def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np
     symbols, coded = np.unique(text, return_inverse=True)
     sigma = len(symbols)
     occ = np.zeros((n + 1, sigma), dtype=np.int32)
-    occ[np.arange(1, n + 1), coded[order - 1]] = 1  # the transform
+    last = coded[order - 1]  # the transform
+    occ[np.arange(1, n + 1), last] = 1
     np.cumsum(occ, axis=0, out=occ)
     below = np.zeros(sigma, dtype=np.int64)
     np.cumsum(np.bincount(coded, minlength=sigma)[:-1], out=below[1:])
@@ -124,7 +125,16 @@ def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np
     unset[0] = unset[n] = False
     lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for depth in range(1, length + 1):
-        level: list[tuple[np.ndarray, np.ndarray]] = []
+        # an interval of one suffix has one extension; most soon are such
+        one = hi - lo == 1
+        c = last[lo[one]]
+        left = occ[lo[one], c] + below[c]
+        if depth > 1 and symbols[0] == 0:
+            left = left[c > 0]
+        left = left[unset[left + 1]]
+        unset[left + 1] = False
+        level = [(left, left + 1)]
+        lo, hi = lo[~one], hi[~one]
         for k in range(0, len(lo), 1 << 13):
             a, b = occ[lo[k : k + (1 << 13)]], occ[hi[k : k + (1 << 13)]]
             some = b > a
@@ -135,8 +145,6 @@ def long_common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np
             fresh = unset[right]
             unset[right] = False
             level.append((left[fresh], right[fresh]))
-        if not level:
-            break
         lo, hi = np.concatenate([x[0] for x in level]), np.concatenate([x[1] for x in level])
     return unset[:n]
 
