@@ -219,7 +219,14 @@ def doc_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(doc, np.arange(len(off)))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() with batches of a few MB, unless the session asks for a size of its own: both sides hold a batch at once."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "67108864b") == "67108864b":
+        conf.set(_BATCH, "4m")
     return df.mapInArrow(f, schema)
 
 

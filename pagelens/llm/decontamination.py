@@ -190,7 +190,7 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, words: int
                 keep[[d for d, _ in sent.value.found(raw, off)]] = False
                 yield part.filter(pa.array(keep))
 
-        return df.mapInArrow(run, df.schema)
+        return C.arrow_map(df, run, df.schema)
 
     return reduce(passed, _blocks(benchmark, words, similarity, radius, block), documents)
 

@@ -215,7 +215,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.3, p
                 part = part.filter(pa.array([index.scored(term[a:b], count[a:b])[0] < limit for a, b in zip(x[:-1].tolist(), x[1:].tolist(), strict=True)]))
             yield part
 
-    return documents.mapInArrow(run, documents.schema)
+    return C.arrow_map(documents, run, documents.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
