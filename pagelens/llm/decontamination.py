@@ -62,7 +62,7 @@ class Items:
         h, at = C.shingles(C.word_hashes(low, starts, ends), first, words)
         item = np.searchsorted(first, at, side="right") - 1
         some = np.flatnonzero(np.diff(first) > 0)  # items with words
-        self.ids, self.size = np.array(ids, dtype=np.int64)[some], np.diff(first)[some]
+        self.ids, self.size = [ids[i] for i in some.tolist()], np.diff(first)[some]
         rename = np.full(len(texts), -1)
         rename[some] = np.arange(len(some))
         self.item, self.offset = rename[item], at - first[item]
@@ -102,6 +102,17 @@ class Items:
         near = np.bitwise_count(prints[row] ^ self.prints[item]).sum(axis=1) <= self.radius
         return row[near], item[near]
 
+    def _short(self, best: dict[tuple[int, int], tuple[float, int]], words: np.ndarray, first: np.ndarray) -> None:
+        """Items with fewer words than a shingle: their windows are one shingle, and equal or not."""
+        for n in np.unique(self.size[self.size < self.words]).tolist():
+            own = np.flatnonzero(self.size == n)
+            target = np.array([self.shingles[i][0] for i in own])
+            h, at = C.windows(words, first, n)
+            for k in np.flatnonzero(np.isin(h, target)).tolist():
+                doc = int(np.searchsorted(first, at[k], side="right")) - 1
+                for i in own[target == h[k]].tolist():
+                    best.setdefault((doc, i), (1.0, int(at[k] - first[doc])))
+
     def found(self, raw: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """By document and item: the best similarity and the window's first word."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -110,6 +121,7 @@ class Items:
         low = C.lowered(raw)
         starts, ends, first = C.word_spans(low, off)
         words = C.word_hashes(low, starts, ends)
+        self._short(best, words, first)
         h, at = C.shingles(words, first, self.words)
         some = np.flatnonzero(self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.h, h[some]), np.searchsorted(self.h, h[some], side="right")
@@ -158,7 +170,7 @@ def _hits(docs: DataFrame, items: Items) -> DataFrame:
             if best := items.found(raw, off):
                 ids = part.column(0).take(pa.array([d for d, _ in best]))
                 item = np.array([i for _, i in best])
-                yield pa.record_batch([ids, pa.array(items.ids[item]), pa.array([s for _, s in best.values()], pa.int64()), pa.array(items.size[item]), pa.array([round(s, 6) for s, _ in best.values()])], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
+                yield pa.record_batch([ids, pa.array([items.ids[i] for i in item], pa.int64()), pa.array([s for _, s in best.values()], pa.int64()), pa.array(items.size[item]), pa.array([round(s, 6) for s, _ in best.values()])], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
     return C.arrow_map(docs, run, SCHEMA)
 

@@ -38,8 +38,8 @@ FAMILIES = {
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 
-def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams, and where each document's begin; two spaces stand between texts."""
+def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all trigrams, and where each document's begin and end; two spaces stand between texts."""
     n = len(off) - 1
     size = np.diff(off)
     begin = off[:-1] + 1 + 2 * np.arange(n)
@@ -48,15 +48,15 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x = padded.astype(np.uint32)
     code = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(0x9E3779B1)
     bucket = (code >> np.uint32(19)).astype(np.int64)
-    return bucket, np.append(begin - 1, len(raw) + 2 * n)
+    return bucket, begin - 1, begin + size
 
 
 def frequencies(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Each document's trigram frequencies, for samples."""
-    bucket, begin = _trigrams(raw, off)
+    bucket, begin, end = _trigrams(raw, off)
     out = np.zeros((len(off) - 1, BUCKETS), dtype=np.float32)
     for i in range(len(off) - 1):
-        seen = np.bincount(bucket[begin[i] : begin[i + 1]], minlength=BUCKETS)
+        seen = np.bincount(bucket[begin[i] : end[i]], minlength=BUCKETS)
         out[i] = seen / max(1, seen.sum())
     return out
 
@@ -109,12 +109,12 @@ def fitted(x: np.ndarray, langs: list[str]) -> Model | None:
 
 def predicted(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The language of each text, and a score from 0 to 1."""
-    bucket, begin = _trigrams(raw, off)
-    count = np.diff(begin)
+    bucket, begin, end = _trigrams(raw, off)
+    count = end - begin
     votes: dict[tuple[str, str], np.ndarray] = {}
     for (level, a, b), w, c in zip(model.pairs, model.weights, model.bias, strict=True):
         total = np.concatenate([[0.0], np.cumsum(w[bucket], dtype=np.float64)])
-        margin = np.round(model.scale * (total[begin[1:]] - total[begin[:-1]]) / count + c, 6)
+        margin = np.round(model.scale * (total[end] - total[begin]) / count + c, 6)
         p = 1 / (1 + np.exp(-3 * np.clip(margin, -50, 50)))
         for name, v in ((a, p), (b, 1 - p)):
             votes[level, name] = votes.get((level, name), 0) + v

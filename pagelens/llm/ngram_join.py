@@ -345,7 +345,7 @@ def link_components(documents: DataFrame, n: int = 4, percent: int = 85, short:
     placed = C.checkpointed(sets.join(classes, ["fp", "n"], "left"))
     same = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.explode("reps").alias("a"), "b")
     nodes = C.components(ids.unionByName(same))
-    return placed.join(nodes, placed.rep == nodes.node, "left").select(placed.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", placed.doc_id).alias("component_id"))
+    return placed.join(nodes, placed.rep == nodes.node, "left").select(placed.doc_id, F.col("n").alias("n_shingles"), F.when(placed.doc_id.isNotNull(), F.coalesce("component", "rep", placed.doc_id)).alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
