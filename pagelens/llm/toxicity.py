@@ -2,7 +2,8 @@
 
 Terms are lower-cased words and their 4-, 5- and 6-byte beginnings, as 64-bit
 hashes. The vocabulary has those with a significant chi-squared association
-with label 1 on the learning sample, which are MIN_LIFT times as frequent there
+with label 1 on the learning sample that isn't slight (a document's many copies
+would lend their words one), and which are MIN_LIFT times as frequent there
 as under label 0; weights are (1 + ln tf) * idf, vectors have length 1.
 
 Examples are cut into blocks, and for each term and block the greatest weight is
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_LIFT = 8192, 4, 40.0, 5.0
+MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_PHI2, MIN_LIFT = 8192, 4, 40.0, 0.015, 5.0
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.3
 #: Queries whose results a worker keeps.
 KEPT_QUERIES = 100_000
@@ -150,7 +151,7 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     df = C.arrow_map(sample.select("doc_id", "text", "toxic"), counts_of, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCUMENTS)
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     chi2 = F.pow(a * (n - pos - b) - b * (pos - a), 2) * n / (F.lit(float(max(1, pos)) * max(1, n - pos)) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
-    top = df.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).where(a * (n - pos) >= MIN_LIFT * b * pos).orderBy(F.desc("chi2"), "h").limit(MOST_TERMS).select("h", "n").toArrow()
+    top = df.withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_PHI2 * n)).where(a * (n - pos) >= MIN_LIFT * b * pos).orderBy(F.desc("chi2"), "h").limit(MOST_TERMS).select("h", "n").toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     vocabulary, idf = h[order], np.log(1 + n / top.column("n").to_numpy()[order])
