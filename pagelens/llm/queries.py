@@ -26,4 +26,27 @@ QUERIES = {
     "op10_suffix_array": op10_suffix_array,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents"
+
+ORACLE_SQL = {
+    "op3_ngram_jaccard": f"""
+WITH RECURSIVE d AS ({_WORDS}),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [chr(10) || array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM g),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.y FROM r JOIN l ON r.reach = l.x)
+SELECT g.doc_id, len(g.g) AS n_shingles, c.component_id FROM g JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON g.doc_id = c.node
+""",
+    "op8_lm_scoring": f"""
+WITH d AS ({_WORDS}),
+t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+n AS (SELECT count(*) AS n FROM t),
+k AS (SELECT w FROM t GROUP BY w HAVING count(*) >= greatest(2, 1e-5 * (SELECT n FROM n))),
+u AS (SELECT t.doc_id, t.i, coalesce(k.w, '') AS w FROM t LEFT JOIN k ON t.w = k.w),
+b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS v FROM u),
+c AS (SELECT w, count(*) AS c FROM u GROUP BY w UNION ALL SELECT ' ', count(*) FROM u WHERE i = 1),
+bc AS (SELECT v, w, count(*) AS c FROM b GROUP BY v, w),
+x AS (SELECT b.doc_id, count(*) AS n_tokens, sum(CASE WHEN bc.c >= 2 THEN ln(bc.c) - ln(cv.c) ELSE ln(0.4) + ln(cw.c) - ln((SELECT n FROM n)) END) AS total FROM b JOIN bc ON b.v = bc.v AND b.w = bc.w JOIN c cv ON b.v = cv.w JOIN c cw ON b.w = cw.w GROUP BY b.doc_id)
+SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(total, 4) AS log_prob, round(exp(-total / n_tokens), 3) AS perplexity FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+""",
+}

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import suffix_dedup as S
 

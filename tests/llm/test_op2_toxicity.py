@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import toxicity
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import ngram_join
 

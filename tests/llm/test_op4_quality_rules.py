@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import quality_rules
 

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import language_id as L
 from pagelens.llm.queries import QUERIES

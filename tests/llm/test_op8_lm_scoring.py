@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import prose
+from texts import prose
 
 from pagelens.llm import lm_scoring as M
 
