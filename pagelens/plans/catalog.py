@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelens.functions import imaging, text, urls
-from pagelens.operators import curate, groups, keep, lookups, timed
+from pagelens.operators import curate, groups, keep, lookups, reports, timed
 from pagelens.plans.sql import ORACLE_SQL
 from pagelens.sources import archives, markup
 
@@ -316,4 +316,64 @@ def q_zip_pack(spark, d):
     return archives.packed(docs).select("archive", "n_files", "bytes", F.crc32("content").alias("crc32"))
 
 
+def q_viewer_rollup(spark, d):
+    e = _t(spark, d, "events")
+    return reports.viewer_rollup(e, "user_id", F.col("event_type") == "purchase", F.col("event_type") == "error", F.floor("value"))
+
+
+def q_merged_counters(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("a"), F.sum("l_discount").alias("b")).select("l_suppkey", reports.merged_counters(F.col("a") - 1000, F.round("b", 4)).alias("n"))
+
+
+def q_archive_names(spark, d):
+    o = _t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("folder"))
+    return reports.archive_names(o, "o_custkey", "folder")
+
+
+def q_telemetry(spark, d):
+    e = _t(spark, d, "events")
+    out = reports.telemetry(e, "user_id", "ts", F.col("event_type") == "error", F.when(F.col("event_type") == "view", 1).otherwise(0), "event_id")
+    return out.withColumn("first_failures", F.array_join(F.transform("first_failures", lambda x: x.cast("string")), ","))
+
+
+def q_group_names(spark, d):
+    """Customers' orders as ids of priorities with names; customers whose priorities are all licensed go."""
+    names = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") == 0).alias("licensed"))
+    rows = _t(spark, d, "customer").groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 3).alias("bundle")).agg(F.array_sort(F.collect_set("c_nationkey")).alias("ids"))
+    return reports.with_names(rows, "ids", names, ["c_mktsegment", "bundle"]).select("c_mktsegment", "bundle", F.array_join("names", ",").alias("names"))
+
+
+def q_placeholder(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    c = _t(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("label"))
+    return reports.with_placeholder(o, c, "key", "label")
+
+
+def q_chapter_marks(spark, d):
+    """Line items marked by their number, or by the part's name."""
+    li = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("connector"), F.col("l_orderkey").alias("manga"), F.concat("l_linenumber", F.lit("")).alias("id"), F.col("l_returnflag").alias("file"), F.col("l_linestatus").alias("title"))
+    marks = li.where("manga % 7 = 0").select("connector", "manga", F.lit("R").alias("chapter")).unionByName(li.where("manga % 11 = 0").select("connector", "manga", F.lit("1").alias("chapter")))
+    return reports.marked(li, marks).groupBy("connector").agg(F.count_if("marked").alias("marked"), F.count("*").alias("chapters"))
+
+
+def q_family_rank(spark, d):
+    return reports.families(_t(spark, d, "pages"), {"madara": 'class="ad"', "speedbinb": "<table", "coreview": "<li>", "foolslide": "<h1>"})
+
+
+def q_part_ranges(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(reports.ranges(F.col("n_chars"), 1024)).alias("part", "bytes"))
+
+
+def q_tile_geometry(spark, d):
+    p = _t(spark, d, "part")
+    return p.select("p_partkey", reports.tile_geometry(F.floor("p_retailprice"), F.col("p_size") * 10, F.lit(4)).alias("g")).select("p_partkey", "g.*")
+
+
+def q_stopped_scans(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.col("user_id").alias("scan_id"), "event_type", "ts")
+    stops = e.where("event_type = 'error'").select("scan_id", F.col("ts").alias("stopped_at"))
+    return reports.not_stopped(e.where("event_type <> 'error'"), stops, 36000).select("event_id", "scan_id")
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}

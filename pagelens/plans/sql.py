@@ -65,4 +65,15 @@ ORACLE_SQL = {
     "q_full_outer_status": "SELECT coalesce(c.c_custkey, o.key) AS key, coalesce(o.files, 0) AS files, CASE WHEN c.c_custkey IS NOT NULL AND o.files IS NOT NULL THEN 'completed' WHEN c.c_custkey IS NOT NULL THEN 'available' ELSE 'offline' END AS status FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c FULL OUTER JOIN (SELECT o_custkey AS key, count(*) AS files FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.key",
     "q_props_json": "SELECT event_id, greatest(0, least(50, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 10))) AS k FROM events",
     "q_text_hash": "WITH t AS (SELECT p_partkey, p_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part) SELECT p_partkey, h AS h32, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS signed32, sha1(p_name) AS prefix_sha1 FROM t",
+    "q_viewer_rollup": "SELECT user_id, bool_or(event_type = 'purchase') AS ok, bool_or(event_type = 'error') AS detected, CAST(max(floor(value)) AS BIGINT) AS pages FROM events GROUP BY user_id",
+    "q_merged_counters": "SELECT l_suppkey, CAST(greatest(floor(sum(l_quantity) - 1000), floor(round(sum(l_discount), 4)), 0) AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey",
+    "q_archive_names": "SELECT o_custkey, CASE WHEN count(DISTINCT f) = 1 THEN max(f) || '.zip' WHEN count(DISTINCT f) > 1 THEN 'chapters.zip' ELSE 'zippedimages.zip' END AS archive_name, count(DISTINCT f) AS folders FROM (SELECT o_custkey, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS f FROM orders) GROUP BY o_custkey",
+    "q_telemetry": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS n FROM events) SELECT user_id, count(*) AS pages, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'view') AS retries, CAST(floor(epoch(max(ts) - min(ts))) AS BIGINT) AS seconds, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (event_type = 'error' AND n <= 5), '') AS first_failures FROM f GROUP BY user_id",
+    "q_group_names": "WITH b AS (SELECT c_mktsegment, c_custkey // 3 AS bundle, c_nationkey FROM customer GROUP BY ALL) SELECT c_mktsegment, bundle, string_agg(n_name, ',' ORDER BY c_nationkey) AS names FROM b JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, bundle HAVING NOT bool_and(n_regionkey = 0)",
+    "q_placeholder": "SELECT o_custkey AS key, o_orderkey, coalesce(c_name, 'unknown:' || o_custkey) AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey",
+    "q_chapter_marks": "SELECT l_suppkey AS connector, count(*) FILTER ((l_orderkey % 7 = 0 AND l_returnflag = 'R') OR (l_orderkey % 11 = 0 AND l_linenumber = 1)) AS marked, count(*) AS chapters FROM lineitem GROUP BY l_suppkey",
+    "q_family_rank": "WITH m(family, confidence, p) AS (VALUES ('madara', 0.7, 'class=\"ad\"'), ('speedbinb', 0.95, '<table'), ('coreview', 0.85, '<li>'), ('foolslide', 0.55, '<h1>')) SELECT page_id, family, CAST(confidence AS DOUBLE) AS confidence, CAST(row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, family) AS INTEGER) AS rank FROM pages, m WHERE contains(html, p)",
+    "q_part_ranges": "SELECT doc_id, CAST(i AS INTEGER) AS part, (i * 1024) || '-' || least(i * 1024 + 1023, n_chars - 1) AS bytes FROM (SELECT doc_id, n_chars, unnest(range(0, CAST(ceil(n_chars / 1024.0) AS BIGINT))) AS i FROM documents)",
+    "q_tile_geometry": "WITH q AS (SELECT p_partkey, floor(p_retailprice) AS w, p_size * 10 AS h FROM part), z AS (SELECT p_partkey, CAST(greatest(1, CASE WHEN floor(w / 32) > 0 THEN floor(w / 32) * 8 WHEN floor(w / 4) > 0 THEN floor(w / 4) ELSE w END) AS INTEGER) AS tile_width, CAST(greatest(1, CASE WHEN floor(h / 32) > 0 THEN floor(h / 32) * 8 WHEN floor(h / 4) > 0 THEN floor(h / 4) ELSE h END) AS INTEGER) AS tile_height FROM q) SELECT p_partkey, tile_width, tile_height, tile_width * 4 AS canvas_width, tile_height * 4 AS canvas_height FROM z",
+    "q_stopped_scans": "SELECT event_id, user_id AS scan_id FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.user_id = e.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 36000 SECOND)",
 }

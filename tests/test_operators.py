@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import curate, groups, keep, lookups, timed
+from pagelens.operators import curate, groups, keep, lookups, reports, timed
 
 T0 = datetime(2024, 1, 1)
 
@@ -131,3 +131,37 @@ def test_latest_within(spark):
 def test_first_success(spark):
     df = spark.createDataFrame([("a", False, 1, "x"), ("a", True, 3, "y"), ("a", True, 2, "z"), ("b", False, 1, "w")], "k string, ok boolean, t int, r string")
     assert rows(timed.first_success(df, ["k"], "ok", "t", "r")) == [("a", "z", True), ("b", None, False)]
+
+
+def test_tile_order_is_the_generators(spark):
+    def expected(size, seed):
+        state, keys = (seed & 0xFFFFFFFF) or 1, []
+        for _ in range(size * size):
+            state ^= (state << 13) & 0xFFFFFFFF
+            state ^= state >> 17
+            state ^= (state << 5) & 0xFFFFFFFF
+            keys.append(state)
+        return sorted(range(size * size), key=lambda i: keys[i])
+
+    cases = [(1, 5), (3, 0), (4, 12345), (5, -7)]
+    df = spark.createDataFrame(cases, "size int, seed int")
+    assert [r.o for r in df.select(reports.tile_order(F.col("size"), F.col("seed")).alias("o")).collect()] == [expected(*c) for c in cases]
+
+
+def test_overlays(spark):
+    schema = "page_id int, pos int, tag string, role string, aria_modal boolean, position string, width double, height double, view_width double, view_height double, z double"
+    view = (100.0, 100.0)
+    cases = [("DIV", None, None, "fixed", 90.0, 90.0, 1000.0), ("IMG", None, None, "fixed", 90.0, 90.0, 1000.0), ("DIV", None, None, "static", 90.0, 90.0, 1000.0), ("DIV", None, None, "fixed", 50.0, 90.0, 1000.0), ("DIV", None, True, "fixed", 90.0, 90.0, 1000.0), ("DIV", None, None, "sticky", 900.0, 60.0, 999.0), ("DIV", None, None, "fixed", 90.0, 90.0, None)]
+    df = spark.createDataFrame([(1, i, t, r, m, p, w, h, *view, z) for i, (t, r, m, p, w, h, z) in enumerate(cases)], schema)
+    assert [(r.pos, round(r.coverage, 2)) for r in reports.overlay_candidates(df).orderBy("pos").collect()] == [(0, 0.81), (5, 0.6)]
+
+
+def test_marks_names_and_ranges(spark):
+    chapters = spark.createDataFrame([("c", "m", "1", "f", None), ("c", "m", "2", None, "t"), ("c", "n", "1", "f", "t")], "connector string, manga string, id string, file string, title string")
+    marks = spark.createDataFrame([("c", "m", "f"), ("c", "m", "t"), ("x", "n", "1")], "connector string, manga string, chapter string")
+    assert [r.marked for r in reports.marked(chapters, marks).orderBy("manga", "id").collect()] == [True, True, False]
+    names = spark.createDataFrame([(1, "A", True), (2, "B", False)], "id int, name string, licensed boolean")
+    got = reports.with_names(spark.createDataFrame([("x", [2, 1]), ("y", [1]), ("z", [])], "k string, ids array<int>"), "ids", names, ["k"])
+    assert {r.k: r.names for r in got.collect()} == {"x": ["B", "A"], "z": None}
+    df = spark.createDataFrame([(0,), (5,), (2500,)], "n long")
+    assert [r.p for r in df.select(reports.ranges(F.col("n"), 1024).alias("p")).collect()] == [[], ["0-4"], ["0-1023", "1024-2047", "2048-2499"]]
