@@ -6,13 +6,17 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def hash_status(df: DataFrame, key: str, order: list) -> DataFrame:
-    """Columns canonical_id and status: the first row of a hash is NEW, all others DUP."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("canonical_id", F.first("id").over(w)).withColumn("status", F.when(F.row_number().over(w) == 1, "NEW").otherwise("DUP"))
+    """Columns canonical_id and status: the first row of a hash (ids are unique) is NEW, all others DUP.
+
+    The first is a minimum, which combines before the shuffle; a window would
+    bring all rows of a frequent hash to one task.
+    """
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min_by("id", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("canonical_id"))
+    found = df.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return found.withColumn("status", F.when(F.col("id") == F.col("canonical_id"), "NEW").otherwise("DUP"))
 
 
 def hash_groups(df: DataFrame, key: str, layer: str) -> DataFrame:
