@@ -10,8 +10,8 @@ Examples are cut into blocks, and for each term and block the greatest weight is
 kept. A query's blocks are visited by descending upper bound of the cosine, and
 the search ends where no block left can reach the k-th neighbour, so the
 neighbours are exact. Votes are weighted by similarity and by the inverse of
-each label's sampling rate, and drawn to the base rate, which calibrates the
-score; the nearest examples are returned as evidence. A text without a term of
+each label's sampling rate, and drawn to the base rate by PRIOR mean votes of
+the neighbours, which calibrates the score; the nearest examples are returned as evidence. A text without a term of
 the vocabulary gets the rate of label 1 among such examples.
 
 Learning sees a bounded sample (`per_label` rows of each label, chosen by a hash
@@ -120,7 +120,9 @@ class Index:
             w = (1 + np.log(count)) * self.idf[term]
             at, sims = self.nearest(term, w / np.sqrt((w * w).sum()))
             vote = sims**2 * self.vote[at]
-            score = ((vote * self.toxic[at]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)
+            # in units of the neighbours' mean vote, the prior weighs as much at any size of the table
+            prior = PRIOR * self.vote[at].mean() if len(at) else 1.0
+            score = ((vote * self.toxic[at]).sum() + prior * self.base) / (vote.sum() + prior)
             self.results[key] = (round(float(score), 6), self.ids[at[:3]].tolist(), np.round(sims[:3], 6).tolist())
         return self.results[key]
 
@@ -177,7 +179,8 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     w = w / norm[example] if len(term) else w
     base = float((vote * toxic).sum() / vote.sum())
     bare = size == 0
-    without = float(((vote * toxic)[bare].sum() + PRIOR * base) / (vote[bare].sum() + PRIOR))
+    prior = PRIOR * (vote[bare].mean() if bare.any() else 1.0)
+    without = float(((vote * toxic)[bare].sum() + prior * base) / (vote[bare].sum() + prior))
     return Index(ids, toxic, vote / vote.max(), vocabulary, idf, example, term, w, base, round(without, 6))
 
 

@@ -59,3 +59,22 @@ def test_odd_rows(spark, odd, empty):
     strange = spark.createDataFrame([(None, 1), (1, None), (2, 1), (2, 0), (2, 1), (99, 1)], "doc_id long, toxic int")
     assert toxicity.scored(odd, strange).count() == odd.count()
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
+
+
+def unanimous(vote, toxic_rate):
+    """An index of 15 toxic examples of one term, with such a vote each."""
+    n = toxicity.NEIGHBOURS
+    return toxicity.Index(np.arange(n), np.ones(n), np.full(n, vote), np.array([5], np.uint64), np.ones(1), np.arange(n), np.zeros(n, np.int64), np.full(n, 0.9), toxic_rate, 0.0)
+
+
+def test_score_does_not_depend_on_the_size_of_votes():
+    # 1% toxic: on a large table a toxic example's vote is about a hundredth of a clean one's
+    small, large = (unanimous(v, 0.01).scored(np.array([0]), np.array([1])) for v in (1.0, 0.0101))
+    assert small[0] > 0.9 and abs(small[0] - large[0]) < 1e-4
+
+
+def test_sampled_labels_score_as_all_labels_do(spark):
+    docs, labels = tables(spark, 600)
+    whole, sampled = ({r.doc_id: r.score for r in toxicity.scored(docs, labels, n).collect()} for n in (3000, 60))
+    toxic = [i for i in whole if i % 5 == 0]
+    assert np.mean([sampled[i] >= 0.3 for i in toxic]) > 0.97 and np.mean([whole[i] >= 0.3 for i in toxic]) > 0.97
