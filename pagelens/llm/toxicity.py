@@ -2,9 +2,9 @@
 
 Terms are lower-cased words and their 4-, 5- and 6-byte beginnings, as 64-bit
 hashes. The vocabulary has those with a significant chi-squared association
-with label 1 on the learning sample that isn't slight (a document's many copies
-would lend their words one), and which are MIN_LIFT times as frequent there
-as under label 0; weights are (1 + ln tf) * idf, vectors have length 1.
+with label 1 on the learning sample, where exact and near copies of a document
+count once (many copies would lend their words one), and which are MIN_LIFT
+times as frequent there as under label 0; weights are (1 + ln tf) * idf, vectors have length 1.
 
 Examples are cut into blocks, and for each term and block the greatest weight is
 kept. A query's blocks are visited by descending upper bound of the cosine, and
@@ -23,7 +23,9 @@ nothing to learn from, all scores are 0. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_PHI2, MIN_LIFT = 8192, 4, 40.0, 0.015, 5.0
+MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_LIFT = 8192, 4, 40.0, 5.0
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.3
+#: Texts that share at least ALIKE of the smallest SKETCH hashes of their 3-word shingles are near copies.
+SKETCH, ALIKE = 32, 0.5
 #: Queries whose results a worker keeps.
 KEPT_QUERIES = 100_000
 _PREFIXES = (4, 5, 6)
@@ -127,6 +131,23 @@ class Index:
         return self.results[key]
 
 
+def leaders(sketches: list[list[int]], toxic: list[int]) -> list[int]:
+    """The examples that are no copies of an earlier one with the same label."""
+    out, by = [], defaultdict(list)
+    sets = [frozenset(x) for x in sketches]
+    for i, mine in enumerate(sets):
+        met = {j for h in mine for j in by[toxic[i], h]}
+        for j in met:
+            least = sorted(mine | sets[j])[:SKETCH]
+            if sum(h in mine and h in sets[j] for h in least) >= ALIKE * len(least):
+                break
+        else:
+            out.append(i)
+            for h in mine:
+                by[toxic[i], h].append(i)
+    return out
+
+
 def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index | None:
     """The index of a bounded sample of labelled rows outside the held-out fold."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~C.held_out()).distinct()
@@ -145,7 +166,16 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
             h, at = np.unique(h, return_inverse=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.bincount(at, minlength=len(h))), pa.array(np.bincount(at, weights=toxic[doc], minlength=len(h)).astype(np.int64))], ["h", "n", "toxic"])
 
-    # the sample's texts are read twice; both times only rows that the bounded sample names
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, off in C.pieces(batches, 1):
+            h, begin = C.doc_sets(raw, off, 3)
+            h = (h >> np.uint64(1)).astype(np.int64)
+            yield pa.record_batch([part.column(0), part.column(2), pa.array([h[a : min(b, a + SKETCH)] for a, b in pairwise(begin.tolist() + [len(h)])][: part.num_rows], pa.list_(pa.int64()))], ["doc_id", "toxic", "sketch"])
+
+    # the sample's texts are read three times, only rows that the bounded sample names
+    drawn = C.arrow_map(sample.select("doc_id", "text", "toxic"), sketches, "doc_id long, toxic int, sketch array<long>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    apart = drawn.select(["doc_id", "toxic"]).take(pa.array(leaders(drawn.column("sketch").to_pylist(), drawn.column("toxic").to_pylist()), pa.int64()))
+    every, sample = sample, sample.join(F.broadcast(documents.sparkSession.createDataFrame(apart).distinct()), ["doc_id", "toxic"], "left_semi")
     total = sample.groupBy().agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, pos = total["n"], total["toxic"] or 0
     if not n:
@@ -153,7 +183,7 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     df = C.arrow_map(sample.select("doc_id", "text", "toxic"), counts_of, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCUMENTS)
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     chi2 = F.pow(a * (n - pos - b) - b * (pos - a), 2) * n / (F.lit(float(max(1, pos)) * max(1, n - pos)) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
-    top = df.withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_PHI2 * n)).where(a * (n - pos) >= MIN_LIFT * b * pos).orderBy(F.desc("chi2"), "h").limit(MOST_TERMS).select("h", "n").toArrow()
+    top = df.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).where(a * (n - pos) >= MIN_LIFT * b * pos).orderBy(F.desc("chi2"), "h").limit(MOST_TERMS).select("h", "n").toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     vocabulary, idf = h[order], np.log(1 + n / top.column("n").to_numpy()[order])
@@ -166,7 +196,7 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
             offsets = pa.array(at.astype(np.int32))
             yield pa.record_batch([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(term)), pa.ListArray.from_arrays(offsets, pa.array(count))], ["doc_id", "toxic", "term", "count"])
 
-    rows = C.arrow_map(sample.select("doc_id", "text", "toxic"), vectors, "doc_id long, toxic int, term array<long>, count array<long>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    rows = C.arrow_map(every.select("doc_id", "text", "toxic"), vectors, "doc_id long, toxic int, term array<long>, count array<long>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
     vote = np.array([1 / rate[int(t)] for t in toxic])
     lists = [np.array(x, dtype=np.int64) for x in rows.column("term").to_pylist()]

@@ -78,3 +78,18 @@ def test_sampled_labels_score_as_all_labels_do(spark):
     whole, sampled = ({r.doc_id: r.score for r in toxicity.scored(docs, labels, n).collect()} for n in (3000, 60))
     toxic = [i for i in whole if i % 5 == 0]
     assert np.mean([sampled[i] >= 0.3 for i in toxic]) > 0.97 and np.mean([whole[i] >= 0.3 for i in toxic]) > 0.97
+
+
+def test_words_of_few_toxic_texts_are_kept_and_copies_count_once(spark):
+    rows, labels = [], []
+    copied = prose(7, 40, [f"c{k}opied" for k in range(60)])
+    for i in range(6000):
+        toxic = i % 2 == 0
+        # each insult is in about 2.5% of the toxic texts; one harmless toxic text has 60 near copies
+        text = f"{copied} n{i}" if toxic and i < 120 else prose(i, 30) + (f" insult{chr(97 + i // 2 % 40 % 26)}{chr(97 + i // 2 % 40 // 26)}" if toxic else "")
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    index = toxicity.learned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), 3000)
+    raw = np.frombuffer(f"insultaa {copied}".encode(), np.uint8)
+    h, _ = toxicity.terms(raw, np.array([0, len(raw)]))
+    assert h[0] in index.vocabulary and not np.isin(h[1:41], index.vocabulary).any()
