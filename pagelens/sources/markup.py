@@ -35,76 +35,31 @@ def ranked(candidates: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["e"])
 
 
-def _body(css: str, at: int) -> tuple[str, int]:
-    """What the parentheses that open before `at` hold, and where they close."""
-    depth, quote, i = 0, "", at
-    while i < len(css):
-        c = css[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'":
-            quote = c
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            if not depth:
-                return css[at:i], i
-            depth -= 1
-        i += 1
-    return css[at:], len(css)
-
-
-def _arguments(css: str) -> list[str]:
-    out, start, i = [], 0, 0
-    depth, quote = 0, ""
-    while i < len(css):
-        c = css[i]
-        if quote:
-            i += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "()":
-            depth = max(0, depth + (1 if c == "(" else -1))
-        elif c == "," and not depth:
-            out.append(css[start:i])
-            start = i + 1
-        i += 1
-    return [x.strip() for x in (*out, css[start:]) if x.strip()]
-
-
-def css_urls(css: str) -> list[str]:
-    """All url(...) values, then those of image-set(...) and of -webkit-image-set(...), each function found by its name alone."""
-
-    def plain(x: str) -> str:
-        x = x.strip()
-        return x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "\"'" else x
-
-    low, out = css.lower(), []
-    for name in ("url(", "image-set(", "-webkit-image-set("):
-        at = low.find(name)
-        while at >= 0:
-            body, end = _body(css, at + len(name))
-            if name == "url(":
-                out.append(plain(body))
-            else:
-                for x in _arguments(body):
-                    if x.lower().startswith("url("):
-                        out.append(plain(_body(x, 4)[0]))
-                    elif x[0] in "\"'" and x.find(x[0], 1) > 1:
-                        out.append(x[1 : x.find(x[0], 1)])
-                    else:
-                        out.append(plain(x.split()[0]))
-            at = low.find(name, end + 1)
-    return [x for x in out if x]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def css_image_urls(css: pd.Series) -> pd.Series:
-    return css.map(lambda x: css_urls(x) if isinstance(x, str) else [])
+# CSS syntax: strings with escapes, and blocks in parentheses (three levels deep, as in a gradient of colours).
+_STRING = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
+_FLAT = rf"(?:[^()\"']|{_STRING})*"
+_INNER = rf"(?:[^()\"']|{_STRING}|\({_FLAT}\))*"
+_BLOCK = rf"(?:[^()\"']|{_STRING}|\({_INNER}\))*"
+_URL = rf"(?is)(?<![\w-])url\(\s*({_STRING}|{_INNER}?)\s*(?:\)|$)"
+_IMAGE_SET = rf"(?is)image-set\(({_BLOCK})(?:\)|$)"
+_ARGUMENT = rf"(?is)({_STRING})|[\w-]+\({_INNER}\)"  # a function's own strings belong to it
+
+
+def css_image_urls(css: Column) -> Column:
+    """The images a CSS value names, each once: its url() values in order, then the strings that image-set() lists itself.
+
+    Strings lose their quotes and keep their escapes. A function's arguments, as
+    in type("image/avif"), are no images. A block that the text's end leaves
+    open is closed there. Null is empty.
+    """
+
+    def bare(x: Column) -> Column:
+        return F.when(x.rlike(r"(?s)^(?:\".*\"|'.*')$") & (F.length(x) > 1), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+    css = F.coalesce(css, F.lit(""))
+    sets = F.transform(F.regexp_extract_all(css, F.lit(_IMAGE_SET), 1), lambda body: F.regexp_extract_all(body, F.lit(_ARGUMENT), 1))
+    found = F.transform(F.concat(F.regexp_extract_all(css, F.lit(_URL), 1), F.flatten(sets)), lambda x: bare(F.trim(x)))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -169,7 +124,7 @@ def background_items(elements_: DataFrame, per_page: int = 500, min_area: float
 
     props = ("background-image", "background", "mask-image", "border-image-source", "list-style-image", "content")
     css = F.concat_ws(" ", *(F.col("style")[p] for p in props))
-    found = elements_.where(F.col("width") * F.col("height") >= min_area).select("page_id", "pos", F.posexplode(F.array_distinct(css_image_urls(css))).alias("k", "url"))
+    found = elements_.where(F.col("width") * F.col("height") >= min_area).select("page_id", "pos", F.posexplode(css_image_urls(css)).alias("k", "url"))
     w = Window.partitionBy("page_id").orderBy("pos", "k")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_page)
 

@@ -14,12 +14,21 @@ def test_srcset(spark):
     assert [e.url for e in best] == ["d", "a", "b", "c"]
 
 
-def test_css_urls():
-    assert markup.css_urls("url(a.png), URL('b(1).png') url(\"c\\\"d\")") == ["a.png", "b(1).png", 'c\\"d']
-    # a prefixed set is found under both names, and its url() by itself
-    assert markup.css_urls("image-set(url(a) 1x, 'b' 2x)") == ["a", "a", "b"]
-    assert markup.css_urls("-webkit-image-set(url(a) 1x)") == ["a", "a", "a"]
-    assert markup.css_urls("none") == [] and markup.css_urls("url()") == []
+def test_css_image_urls(spark):
+    cases = {
+        "url(a.png), URL('b(1).png') url(\"c\\\"d\")": ["a.png", "b(1).png", 'c\\"d'],
+        "image-set(url(a) 1x, 'b' 2x)": ["a", "b"],
+        "-webkit-image-set(url(a) 1x)": ["a"],
+        'image-set("x.avif" type("image/avif"), "y(2).png" type("image/png") 2x)': ["x.avif", "y(2).png"],
+        "image-set(linear-gradient(rgba(0, 0, 0, .5), red) 1x, 'z' 2x), url( q.png )": ["q.png", "z"],
+        "url(open.png": ["open.png"],
+        "my-url(a) none": [],
+        "url()": [],
+        "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "css string")
+    got = {r.css: r.u for r in df.select("css", markup.css_image_urls(F.col("css")).alias("u")).collect()}
+    assert got == cases | {None: []}
 
 
 def test_image_items(spark):
