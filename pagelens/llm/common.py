@@ -9,15 +9,17 @@ bounds a Python worker's memory whatever Spark's batch size is.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the kernels take at once.
@@ -35,42 +37,94 @@ _C1, _C2, _GOLD, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set and Spark is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While it is open, an action's shuffle files go when the action ends; what it has written needs them no more."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, with no lineage; for tables of ids and numbers, never of texts."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As checkpointed(), as a Parquet table: smaller, and read by column; removed when the driver ends."""
+    """As checkpointed(), as a Parquet table: smaller, and read by column; removed by forget(), or when the driver ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    _STORED[path] = weakref.ref(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
 
+_STORED: dict[str, weakref.ref] = {}
 
-_STORED: list[tuple[weakref.ref, str]] = []
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of stored(), once what reads them is written."""
+    for t in tables:
+        _drop(t._stored_at)
+
+
+def _drop(path: str) -> None:
+    session = _STORED.pop(path, lambda: None)()
+    try:
+        place = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
+        return
 
 
 @atexit.register
 def drop_stored() -> None:
     """Removes the tables that stored() has written; nothing that reads them may run later."""
-    while _STORED:
-        session, path = _STORED.pop()
-        try:
-            jvm = session().sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(session().sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clear
-            return
+    for path in list(_STORED):
+        _drop(path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Samples take a share of so many values of a hash, so that some rows of any number of rows are drawn.
+SHARES = 1 << 62
+
+
+def drawn(limit: Column, seed: str, *columns: str) -> Column:
+    """Whether a row's hash is below the limit, `limit` of SHARES."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(SHARES)) < limit
+
+
+def limit_for(rows: int, of: int) -> int:
+    """The limit by which drawn() takes about `rows` of `of` rows."""
+    return SHARES if rows >= of else rows * SHARES // of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,12 +276,30 @@ def doc_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow() with batches of a few MB, unless the session asks for a size of its own: both sides hold a batch at once."""
+    """mapInArrow() with batches of a few MB: both sides hold a batch at once.
+
+    Spark reads the size of batches from the session when the result is run, so
+    it is set there, unless the session has a size of its own already.
+    """
     conf = df.sparkSession.conf
     if conf.get(_BATCH, "67108864b") == "67108864b":
         conf.set(_BATCH, "4m")
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
