@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,8 @@ from pyspark.sql import functions as F
 from pagelens.llm import common as C
 
 BLOCK_ITEMS, BLOCK_BYTES = 1024, 16 << 20
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 250_000
-#: Longer words are not kept.
-KEPT_BYTES = 64
+#: Words and ids that a worker keeps (about 8 + 8 + 8 and 4 bytes each); the parts of words whose ids it keeps, each of no more bytes than KEPT_BYTES.
+KNOWN_WORDS, KNOWN_IDS, KNOWN_PARTS, KEPT_BYTES = 1_000_000, 4_000_000, 100_000, 64
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the vocabulary's own pre-tokenizer
 _PLAIN = regex.compile("[\x21-\x7e\xa1-\xff]+")
 
@@ -54,7 +53,11 @@ _BYTE = _byte_names()
 
 
 class WordTokenizer:
-    """Ids of word_bpe-like tokenizers (lower case, white space dropped) as little-endian 32-bit integers."""
+    """Ids of word_bpe-like tokenizers (lower case, white space dropped), of whole pieces of text at once.
+
+    A word's ids are kept under a 64-bit hash of its bytes, in arrays; beyond
+    KNOWN_WORDS words or KNOWN_IDS ids the worker begins anew.
+    """
 
     def __init__(self, path: str):
         import os
@@ -64,52 +67,87 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
         self.special = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > KNOWN_WORDS:
-            self.parts.clear()
-        known, part, out = self.parts, self.part, self.words
-        odd: list[bytes] = []
+        self.parts: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def of_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word; a word's parts are those of the vocabulary's own pre-tokenizer."""
+        known, part = self.parts, self.part
+        if len(known) > KNOWN_PARTS:
+            known.clear()
+        out: list[list[int] | None] = []
+        odd: list[int] = []
         for w in words:
             if w.isalpha():  # A-Z and a-z only
                 p = w.decode().lower()
-                out[w] = known.get(p) or part(p)
+                out.append(known.get(p) or part(p))
             elif w.isascii() and w[:-1].isalpha() and w[-1] > 32 and w[-1] != 127 and w[-1] not in b"'":
                 p, last = w[:-1].decode().lower(), chr(w[-1])
-                out[w] = (known.get(p) or part(p)) + (known.get(last) or part(last))
+                out.append((known.get(p) or part(p)) + (known.get(last) or part(last)))
             elif _PLAIN.fullmatch(s := w.decode("utf-8", "replace")):
-                out[w] = b"".join([known.get(p) or part(p) for p in _SPLIT.findall(s.lower())])
+                out.append([i for p in _SPLIT.findall(s.lower()) for i in known.get(p) or part(p)])
             else:
-                odd.append(w)
-        if odd:
-            out.update(zip(odd, self.whole([w.decode("utf-8", "replace") for w in odd]), strict=True))
+                odd.append(len(out))
+                out.append(None)
+        for i, ids in zip(odd, self.whole([words[i] for i in odd]) if odd else (), strict=True):
+            out[i] = ids
+        return out
 
-    def part(self, p: str) -> bytes:
+    def part(self, p: str) -> list[int]:
         """Ids of what the pre-tokenizer leaves in one part, by the vocabulary's merges."""
-        name = p if p.isascii() else "".join([_BYTE[b] for b in p.encode()])
-        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(name)])
+        ids = [t.id for t in self.model.tokenize(p if p.isascii() else "".join([_BYTE[b] for b in p.encode()]))]
         if len(p) <= KEPT_BYTES:
             self.parts[p] = ids
         return ids
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > KNOWN_WORDS:
-            self.words.clear()
-        split = [None if any(x in t for x in self.special) else t.split() for t in texts]
-        new = set().union(*(s for s in split if s))
-        self.learn([w for w in new if w not in self.words])
-        out = [self.whole([t.decode("utf-8", "replace")])[0] if s is None else b"".join(map(self.words.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
-        for w in new:
-            if len(w) > KEPT_BYTES:
-                self.words.pop(w, None)
-        return out
+    def learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Adds words that aren't known, by their hashes."""
+        found = self.of_words(words)
+        count = np.array([len(x) for x in found], dtype=np.int64)
+        begin = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
+        h, begin, count = np.concatenate([self.hashes, h]), np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        order = np.argsort(h)
+        self.hashes, self.begin, self.count = h[order], begin[order], count[order]
+
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes lie, and which do."""
+        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        return at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin (one more entry at the end)."""
+        data = raw.tobytes()
+        starts, ends, first = C.word_spans(raw, off)
+        h, at, place = np.unique(C.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        new = ~self.known(h)[1]
+        if len(self.hashes) + int(new.sum()) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
+            self.clear()  # what is kept then is this piece's own
+            new[:] = True
+        if new.any():
+            self.learn(h[new], [data[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        slot, _ = self.known(h)
+        slot = slot[place]
+        count = self.count[slot] if len(slot) else np.zeros(0, np.int64)
+        total = np.zeros(len(count) + 1, dtype=np.int64)
+        np.cumsum(count, out=total[1:])
+        ids = self.ids[np.repeat(self.begin[slot] - total[:-1], count) + np.arange(total[-1])] if len(slot) else np.zeros(0, np.uint32)
+        bounds = total[first]
+        if any(x in data for x in self.special):
+            texts = [ids[a:b] for a, b in pairwise(bounds.tolist())]
+            for i, (a, b) in enumerate(pairwise(off.tolist())):
+                if any(x in data[a:b] for x in self.special):
+                    texts[i] = np.array(self.whole([data[a:b]])[0], dtype=np.uint32)
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            ids = np.concatenate(texts)
+        return ids, bounds
 
 
 @cache
@@ -185,17 +223,18 @@ def pack(examples: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens:
     piece's ids as little-endian unsigned 32-bit integers). Without `cut`, every
     example stays whole, and one that is larger than a sequence is an error.
     """
-    capacity = np.array([max_tokens, max_segments, max_loss or max_tokens], dtype=np.float64)
+    capacity = np.array([max_tokens, max_segments, max_tokens if max_loss is None else max_loss], dtype=np.float64)
+    if capacity.min() < 1:
+        raise ValueError("a sequence holds at least one token, one segment and one loss-bearing token")
     loss = F.coalesce(F.col("loss").cast("boolean"), F.lit(True)) if "loss" in examples.columns else F.lit(True)
     rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), loss.alias("loss"))
-    last = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
-    def block(held: list[tuple[int | None, bytes, bool]], number: int) -> tuple[pa.RecordBatch, int]:
+    def block(held: list[tuple[int | None, np.ndarray, bool]], number: int) -> tuple[pa.RecordBatch, int]:
         sequences: list[list[tuple[int, int, int]]] = []
         sizes, first = np.zeros((len(held), 3), dtype=np.int64), np.zeros(len(held), dtype=np.int64)
         for i, (_, ids, bears) in enumerate(held):
-            n = len(ids) // 4
+            n = len(ids)
             if cut:
                 most = int(min(max_tokens, capacity[2])) if bears else max_tokens
                 sequences.extend([(i, k * most, most)] for k in range(n // most))
@@ -211,7 +250,7 @@ def pack(examples: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens:
             offset = 0
             for i, start, n in seq:
                 ident, ids, _ = held[i]
-                for c, v in zip(cols, (ident, start, n, len(ids) // 4, number, offset, ids[4 * start : 4 * (start + n)]), strict=True):
+                for c, v in zip(cols, (ident, start, n, len(ids), number, offset, ids[start : start + n].tobytes()), strict=True):
                     c.append(v)
                 offset += n
             number += 1
@@ -220,13 +259,15 @@ def pack(examples: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(tokenizer_path)
         number = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, bytes, bool]] = []
+        held: list[tuple[int | None, np.ndarray, bool]] = []
         size = 0
         for part, raw, off in C.pieces(batches, 1, 1 << 20):
-            data = raw.tobytes()
-            for ident, ids, bears in zip(part.column(0).to_pylist(), encode([data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]), part.column(2).to_pylist(), strict=True):
-                held.append((ident, ids + last, bears))
-                size += len(ids) + 4
+            ids, bounds = encode(raw, off)
+            ends = bounds[1:] + np.arange(part.num_rows)
+            closed = np.full(len(ids) + part.num_rows, end_id, dtype="<u4")
+            closed[np.delete(np.arange(len(closed)), ends)] = ids
+            held.extend(zip(part.column(0).to_pylist(), np.split(closed, ends[:-1] + 1), part.column(2).to_pylist(), strict=True))
+            size += closed.nbytes
             if len(held) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
                 out, number = block(held, number)
                 yield out

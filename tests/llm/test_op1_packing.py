@@ -15,10 +15,21 @@ def ids(text):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-def test_word_ids_are_the_tokenizers():
-    got = packing.WordTokenizer(packing.vocabulary())([t.encode() for t in STRANGE])
-    for t, x in zip(STRANGE, got, strict=True):
-        assert np.frombuffer(x, "<u4").tolist() == ids(t)[:-1], t
+def encoded(tokenizer, texts):
+    parts = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, parts)])
+    got, bounds = tokenizer(np.frombuffer(b"".join(parts), np.uint8), off)
+    return [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    tokenizer = packing.WordTokenizer(packing.vocabulary())
+    plain = [t for t in STRANGE if "<|" not in t]
+    for texts in (STRANGE, plain, STRANGE[3:5], [""], []):
+        assert encoded(tokenizer, texts) == [ids(t)[:-1] for t in texts]
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 5)  # the worker begins anew, also with more words in one piece
+    for texts in (STRANGE, plain[:3], plain):
+        assert encoded(tokenizer, texts) == [ids(t)[:-1] for t in texts]
 
 
 def checked(pieces, texts, most=2048):
