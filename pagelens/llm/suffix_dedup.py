@@ -109,9 +109,9 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
         for rows, raw, off in C.pieces(batches, 2):
             h, doc, start, count, at = owned_windows(raw, off, length)
             doc = pa.array(doc)
-            yield pa.record_batch([pa.array(h.view(np.int64)), rows.column(0).take(doc), rows.column(1).take(doc), pa.array(start), pa.array(count.astype(np.int32)), pa.array(at.astype(np.int16))], ["h", *_ROW, "start", "windows", "at"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), rows.column(0).take(doc), rows.column(1).take(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at.astype(np.int16))], ["h", *_ROW, "start", "windows", "at"])
 
-    return C.arrow_map(docs, run, "h long, id long, th long, start long, windows int, at short")
+    return C.arrow_map(docs, run, "h long, id long, th long, start int, windows int, at short")
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(h, pa.int64()), pa.array(ph, pa.int64()), pa.array(piece, pa.binary()), pa.array(held.values(), pa.int64())], ["h", "ph", "piece", "places"])
 
 
-_PLACED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("at", pa.int16()), ("left", pa.int16()), ("right", pa.int16()), ("piece", pa.binary())])
+_PLACED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("at", pa.int16()), ("left", pa.int16()), ("right", pa.int16()), ("piece", pa.binary())])
 
 
 def halves(piece: bytes, at: int, left: int, right: int, length: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
@@ -308,9 +308,9 @@ def _split(length: int):
     return run
 
 
-def grouped(placed: DataFrame, length: int, group_bytes: int) -> list[DataFrame]:
-    """The pieces (as in _PLACED, with their hash ph) in tables, in which no h has more than about group_bytes of distinct ones."""
-    out, columns = [], [f.name for f in _PLACED]
+def grouped(placed: DataFrame, length: int, group_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pieces (as in _PLACED, with their hash ph), of which no h has more than about group_bytes of distinct ones, and the stored tables they are in."""
+    tables, out, columns = [placed], [], [f.name for f in _PLACED]
     # the bytes that a window has besides its anchor are halved each time
     for _ in range((length - KMER).bit_length() + 1):
         size = placed.groupBy("h", "ph").agg(F.max(F.length("piece")).alias("b")).groupBy("h").agg(F.sum("b").alias("b"))
@@ -318,26 +318,30 @@ def grouped(placed: DataFrame, length: int, group_bytes: int) -> list[DataFrame]
         if not hot.limit(1).count():
             break
         out.append(placed.join(hot, "h", "left_anti"))
-        parts = C.arrow_map(placed.join(hot, "h", "left_semi").select(*columns), _split(length), "h long, id long, th long, start long, at short, left short, right short, piece binary")
+        parts = C.arrow_map(placed.join(hot, "h", "left_semi").select(*columns), _split(length), "h long, id long, th long, start int, at short, left short, right short, piece binary")
         placed = C.stored(parts.withColumn("ph", F.xxhash64("piece")))
-    return [*out, placed]
+        tables.append(placed)
+    return reduce(DataFrame.unionByName, [*out, placed]), tables
 
 
 def repeated_spans(docs: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(id, th, lo, hi): byte ranges, not yet merged, that strings of `length` bytes with a second place cover, of rows (id, th, text)."""
-    runs = C.stored(anchors(docs, length))
-    often = runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    every = C.stored(anchors(docs, length))
+    runs = C.stored(every.join(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h"))
+    C.forget(every)
     # equal rows name equal runs; each row then brings its own pieces
-    lists = runs.join(often, "h").groupBy(*_ROW).agg(F.collect_set(F.struct("h", "start", "windows", "at")).alias("runs"))
+    lists = runs.groupBy(*_ROW).agg(F.collect_set(F.struct("h", "start", "windows", "at")).alias("runs"))
     piece = F.expr(f"substring(text, cast(start + 1 as int), windows + {length - 1})")
     nil = F.lit(0).cast("short")
     placed = docs.join(lists, list(_ROW)).select(*_ROW, "text", F.inline("runs")).select("h", *_ROW, "start", "at", nil.alias("left"), nil.alias("right"), piece.alias("piece"))
     placed = C.stored(placed.withColumn("ph", F.xxhash64("piece")))
     C.forget(runs)
-    tables = grouped(placed, length, group_bytes)
-    every = reduce(DataFrame.unionByName, tables)
+    every, tables = grouped(placed, length, group_bytes)
     found = judged(C.arrow_map(every.select("h", "ph", "piece"), _collapsed, "h long, ph long, piece binary, places long"), length)
-    return every.select("h", "ph", *_ROW, "start").join(found, ["h", "ph"]).select(*_ROW, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + F.lit(length - 1)).alias("hi"))
+    spans = every.select("h", "ph", *_ROW, "start").join(found, ["h", "ph"]).select(*_ROW, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + F.lit(length - 1)).alias("hi"))
+    spans = C.stored(spans)
+    C.forget(*tables)
+    return spans
 
 
 def _removal():
