@@ -1,28 +1,35 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are lower-cased words and their 4-, 5- and 6-byte beginnings, as 64-bit
-hashes. The vocabulary has those with a significant chi-squared association
-with label 1 on the learning sample, where exact and near copies of a document
-count once (many copies would lend their words one), and which are MIN_LIFT
-times as frequent there as under label 0; weights are (1 + ln tf) * idf, vectors have length 1.
+hashes. The vocabulary has those that are MIN_LIFT times as frequent under
+label 1 as under label 0 in the learning sample, and significantly so: were the
+label drawn by its rate, the chance of so many texts with it, times the number
+of terms tried, is at most CHANCE. Exact and near copies of a document count
+once there (many copies would lend their words significance). Weights are
+(1 + ln tf) * idf, vectors have length 1.
 
 Examples are cut into blocks, and for each term and block the greatest weight is
 kept. A query's blocks are visited by descending upper bound of the cosine, and
 the search ends where no block left can reach the k-th neighbour, so the
 neighbours are exact. Votes are weighted by similarity and by the inverse of
 each label's sampling rate, and drawn to the base rate by PRIOR mean votes of
-the neighbours, which calibrates the score; the nearest examples are returned as evidence. A text without a term of
-the vocabulary gets the rate of label 1 among such examples.
+the neighbours. The score is that value on a rising curve, fitted to the
+learning sample (each example scored without itself), of the share of label 1.
+The nearest examples are returned as evidence. A text without a term of the
+vocabulary has no neighbours, and gets the rate of label 1 among such examples.
 
 Learning sees a bounded sample (`per_label` rows of each label, chosen by a hash
 of the row) of labelled rows outside the held-out fold. Scoring reads each text
-once and shuffles nothing. A null text counts as empty. Equal rows get equal
-results; a doc_id labelled twice counts once for each distinct label. With
-nothing to learn from, all scores are 0. Other columns are ignored.
+once and shuffles nothing. A null text counts as empty, and a very long one is
+read in one task. Equal rows get equal results; a doc_id labelled twice counts
+once for each distinct label. Of equally near examples the smaller doc_id comes
+first. With nothing to learn from (empty tables too), all scores are 0. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -34,12 +41,14 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-MOST_TERMS, MIN_DOCUMENTS, MIN_CHI2, MIN_LIFT = 8192, 4, 40.0, 5.0
+MIN_DOCUMENTS, CHANCE, MIN_LIFT = 4, 0.01, 5.0
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.3
 #: Texts that share at least ALIKE of the smallest SKETCH hashes of their 3-word shingles are near copies.
 SKETCH, ALIKE = 32, 0.5
-#: Queries whose results a worker keeps.
-KEPT_QUERIES = 100_000
+#: Fewer examples with terms give no curve.
+MIN_CURVE = 20
+#: Bytes of queries and results that a worker keeps.
+KEPT_BYTES = 24 << 20
 _PREFIXES = (4, 5, 6)
 
 
@@ -82,7 +91,9 @@ class Index:
         self.blocks = -(-max(1, len(ids)) // BLOCK)
         self.most = np.zeros((len(vocabulary), self.blocks), dtype=np.float32)
         np.maximum.at(self.most, (term, example // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        self.curve: tuple[np.ndarray, np.ndarray] | None = None
         self.results: dict[bytes, tuple] = {}
+        self.kept_bytes = 0
 
     def known(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms of the vocabulary by number, with document and count."""
@@ -94,8 +105,8 @@ class Index:
         some = self.vocabulary[at] == h
         return counted(at[some], doc[some])
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, nearest first; equals by example."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples (but one) and their cosines, nearest first; equals by example."""
         bound = weight @ self.most[term]
         found, sims = np.zeros(0, np.int64), np.zeros(0)
         lists = [(slice(self.begin[t], self.begin[t + 1]), w) for t, w in zip(term.tolist(), weight.tolist(), strict=True)]
@@ -107,29 +118,70 @@ class Index:
                 x = self.example[part]
                 lo, hi = np.searchsorted(x, (b * BLOCK, (b + 1) * BLOCK))
                 total[x[lo:hi] - b * BLOCK] += w * self.weight[part][lo:hi]
+            if b * BLOCK <= without < (b + 1) * BLOCK:
+                total[without - b * BLOCK] = 0
             some = np.flatnonzero(total > 0)
             found, sims = np.concatenate([found, some + b * BLOCK]), np.concatenate([sims, total[some]])
             order = np.lexsort((found, -np.round(sims, 9)))[:NEIGHBOURS]
             found, sims = found[order], sims[order]
         return found, sims
 
+    def voted(self, at: np.ndarray, sims: np.ndarray) -> float:
+        """The share of label 1 among the neighbours' votes."""
+        vote = sims**2 * self.vote[at]
+        # in units of the neighbours' mean vote, the prior weighs as much at any size of the table
+        prior = PRIOR * self.vote[at].mean() if len(at) else 1.0
+        return float(((vote * self.toxic[at]).sum() + prior * self.base) / (vote.sum() + prior))
+
     def scored(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int], list[float]]:
         """The score, and ids and cosines of the nearest examples."""
         if not len(term):
             return self.without, [], []
         key = term.tobytes() + count.tobytes()
         if key not in self.results:
-            if len(self.results) >= KEPT_QUERIES:
+            if self.kept_bytes >= KEPT_BYTES:
                 self.results.clear()
+                self.kept_bytes = 0
+            self.kept_bytes += len(key) + 600
             w = (1 + np.log(count)) * self.idf[term]
             at, sims = self.nearest(term, w / np.sqrt((w * w).sum()))
-            vote = sims**2 * self.vote[at]
-            # in units of the neighbours' mean vote, the prior weighs as much at any size of the table
-            prior = PRIOR * self.vote[at].mean() if len(at) else 1.0
-            score = ((vote * self.toxic[at]).sum() + prior * self.base) / (vote.sum() + prior)
-            self.results[key] = (round(float(score), 6), self.ids[at[:3]].tolist(), np.round(sims[:3], 6).tolist())
+            score = self.voted(at, sims)
+            if self.curve:
+                score = float(np.interp(score, *self.curve))
+            self.results[key] = (round(score, 6), self.ids[at[:3]].tolist(), np.round(sims[:3], 6).tolist())
         return self.results[key]
 
+    def calibrate(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Fits the curve to the examples (rows of example, term and weight, by example) that have terms."""
+        own, begin = np.unique(example, return_index=True)
+        if len(own) < MIN_CURVE or not 0 < self.toxic[own].sum() < len(own):
+            return
+        ends = np.append(begin[1:], len(example))
+        value = np.array([self.voted(*self.nearest(term[a:b], weight[a:b], i)) for i, a, b in zip(own.tolist(), begin.tolist(), ends.tolist(), strict=True)])
+        self.curve = rising(value, self.toxic[own], self.vote[own], self.base)
+
+
+def rising(value: np.ndarray, toxic: np.ndarray, weight: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rising curve nearest to the labels by squares (neighbours that violate the order are pooled), as points to interpolate; each point is drawn to the base rate by one mean weight."""
+    blocks: list[list[float]] = []  # weight, weight of label 1, weighted values
+    for i in np.argsort(value, kind="stable").tolist():
+        blocks.append([weight[i], weight[i] * toxic[i], weight[i] * value[i]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last, strict=True)]
+    n, pos, at = np.array(blocks).T
+    mean = weight.mean()
+    return at / n, np.maximum.accumulate((pos + mean * base) / (n + mean))
+
+
+def chance_of(n: int, at_least: int, rate: float) -> float:
+    """The chance of so many of n if each is drawn by the rate."""
+    if rate <= 0 or rate >= 1:
+        return 1.0
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate) for i in range(at_least, n + 1)]
+    top = max(logs)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+
 
 def leaders(sketches: list[list[int]], toxic: list[int]) -> list[int]:
     """The examples that are no copies of an earlier one with the same label."""
@@ -154,9 +206,10 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not counts:
         return None
-    rate = {t: min(1.0, per_label / c) for t, c in counts.items()}
-    cut = F.create_map(*(F.lit(v) for t, r in rate.items() for v in (t, int(1_000_000 * r))))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < cut[F.col("toxic")]).limit(4 * per_label)
+    limit = {t: C.limit_for(per_label, c) for t, c in counts.items()}
+    rate = {t: x / C.SHARES for t, x in limit.items()}
+    cut = F.create_map(*(F.lit(v) for t, x in limit.items() for v in (t, x)))
+    chosen = marked.where(C.drawn(cut[F.col("toxic")], "toxicity", "doc_id")).limit(4 * per_label)
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +233,15 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     n, pos = total["n"], total["toxic"] or 0
     if not n:
         return None
-    df = C.arrow_map(sample.select("doc_id", "text", "toxic"), counts_of, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCUMENTS)
+    # of the bounded sample's terms only a number and those of label 1 come here
+    tried = C.checkpointed(C.arrow_map(sample.select("doc_id", "text", "toxic"), counts_of, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCUMENTS))
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
-    chi2 = F.pow(a * (n - pos - b) - b * (pos - a), 2) * n / (F.lit(float(max(1, pos)) * max(1, n - pos)) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
-    top = df.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).where(a * (n - pos) >= MIN_LIFT * b * pos).orderBy(F.desc("chi2"), "h").limit(MOST_TERMS).select("h", "n").toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
+    terms_tried, some = tried.count(), tried.where(a * (n - pos) >= MIN_LIFT * b * pos).toArrow()
+    h, having, toxic_having = (some.column(k).to_numpy() for k in ("h", "n", "toxic"))
+    sure = np.array([chance_of(x, y, pos / n) * terms_tried <= CHANCE for x, y in zip(having.tolist(), toxic_having.tolist(), strict=True)], dtype=bool)
+    h, having = h[sure].view(np.uint64), having[sure]
     order = np.argsort(h)
-    vocabulary, idf = h[order], np.log(1 + n / top.column("n").to_numpy()[order])
+    vocabulary, idf = h[order], np.log(1 + n / having[order])
     look = Index(*(np.zeros(0, np.int64),) * 3, vocabulary, idf, *(np.zeros(0, np.int64),) * 2, np.zeros(0), 0.0, 0.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +266,9 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     bare = size == 0
     prior = PRIOR * (vote[bare].mean() if bare.any() else 1.0)
     without = float(((vote * toxic)[bare].sum() + prior * base) / (vote[bare].sum() + prior))
-    return Index(ids, toxic, vote / vote.max(), vocabulary, idf, example, term, w, base, round(without, 6))
+    index = Index(ids, toxic, vote / vote.max(), vocabulary, idf, example, term, w, base, round(without, 6))
+    index.calibrate(example, term, w)
+    return index
 
 
 def scored(documents: DataFrame, labels: DataFrame, per_label: int = 3000) -> DataFrame:

@@ -93,3 +93,26 @@ def test_words_of_few_toxic_texts_are_kept_and_copies_count_once(spark):
     raw = np.frombuffer(f"insultaa {copied}".encode(), np.uint8)
     h, _ = toxicity.terms(raw, np.array([0, len(raw)]))
     assert h[0] in index.vocabulary and not np.isin(h[1:41], index.vocabulary).any()
+
+
+def test_scores_are_calibrated(spark):
+    """A word that is in toxic texts three times of four, and one that always is: scores are the shares, on rows never learned from."""
+    rows, labels = [], []
+    for i in range(4000):
+        r = random.Random(i)
+        kind = r.choice(["plain"] * 8 + ["sure", "perhaps"])
+        toxic = kind == "sure" or (kind == "perhaps" and r.random() < 0.75) or r.random() < 0.01
+        rows.append((i, prose(i, 25) + {"plain": "", "sure": " vileness", "perhaps": " scumbag"}[kind]))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [(r.score, r.toxic) for r in toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").collect()]
+    for lo, hi in ((0, 0.3), (0.3, 0.9), (0.9, 1.01)):
+        some = [x for x in got if lo <= x[0] < hi]
+        assert len(some) > 50 and abs(np.mean([x[0] for x in some]) - np.mean([x[1] for x in some])) < 0.08
+
+
+def test_rising_curve_and_chance():
+    value, toxic = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1])
+    x, y = toxicity.rising(value, toxic, np.ones(4), 0.5)
+    assert np.allclose(x, [0.1, 0.25, 0.4]) and np.allclose(y, [0.25, 0.5, 0.75])
+    assert np.isclose(toxicity.chance_of(10, 8, 0.5), 56 / 1024) and toxicity.chance_of(5, 1, 0.0) == 1.0
