@@ -6,13 +6,16 @@ buckets. One-versus-one linear support vector machines first tell language
 families apart, then the languages within the family that won. Languages that
 no family names are a family each.
 
-Models are fitted on a bounded sample: about `per_language` rows of each of the
-MOST_LANGUAGES most frequent languages, chosen by a hash of the row. Prediction
-reads each text once and shuffles nothing.
+Models are fitted on a bounded sample: about `per_language` rows of each
+language, chosen by a hash of the row; the driver gets them as sparse vectors,
+and makes two classes' rows dense at once. Prediction reads each text once and
+shuffles nothing; it takes a pass over the trigrams for each pair of classes.
 
 A null text or one without a letter is `und` with score 0, and so is every text
-if there is nothing to learn from. A very short text gets what its few trigrams
-say. Equal rows get equal results. Other columns are ignored.
+if there is nothing to learn from (an empty table, or no labels). A very short
+text gets what its few trigrams say; a very long one is read in one task. Ties
+go to the first class by name. Equal rows get equal results, and so do rows of
+one doc_id with equal texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-BUCKETS, MOST_LANGUAGES = 8192, 64
+BUCKETS = 8192
 #: Fixed facts: families of ISO 639-1 languages.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"),
@@ -51,13 +54,24 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return bucket, begin - 1, begin + size
 
 
-def frequencies(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+#: A text's buckets (16 bits) and their shares of its trigrams (half precision).
+Frequencies = tuple[np.ndarray, np.ndarray]
+
+
+def frequencies(raw: np.ndarray, off: np.ndarray) -> list[Frequencies]:
     """Each document's trigram frequencies, for samples."""
     bucket, begin, end = _trigrams(raw, off)
-    out = np.zeros((len(off) - 1, BUCKETS), dtype=np.float32)
-    for i in range(len(off) - 1):
-        seen = np.bincount(bucket[begin[i] : end[i]], minlength=BUCKETS)
-        out[i] = seen / max(1, seen.sum())
+    out = []
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        at, count = np.unique(bucket[a:b], return_counts=True)
+        out.append((at.astype(np.uint16), (count / max(1, b - a)).astype(np.float16)))
+    return out
+
+
+def dense(x: list[Frequencies]) -> np.ndarray:
+    out = np.zeros((len(x), BUCKETS), dtype=np.float32)
+    for row, (at, share) in zip(out, x, strict=True):
+        row[at] = share
     return out
 
 
@@ -89,20 +103,19 @@ class Model:
     scale: float
 
 
-def fitted(x: np.ndarray, langs: list[str]) -> Model | None:
+def fitted(x: list[Frequencies], langs: list[str]) -> Model | None:
     if not langs:
         return None
     names = np.array(langs)
     family = np.array([_FAMILY.get(a, a) for a in langs])
     levels = {"": tuple(sorted(set(family)))} | {f: tuple(sorted(set(names[family == f]))) for f in set(family)}
-    scale = 1.0 / max(float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).mean()), 1e-9)
-    x = x * np.float32(scale)
+    scale = 1.0 / max(float(np.mean([np.sqrt((share.astype(np.float64) ** 2).sum()) for _, share in x])), 1e-9)
     pairs, weights, bias = [], [], []
     for level, classes in sorted(levels.items()):
         of = names if level else family
         for a, b in combinations(classes, 2):
             rows = np.flatnonzero((of == a) | (of == b))
-            w, c = support_vectors(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+            w, c = support_vectors(dense([x[i] for i in rows.tolist()]) * np.float32(scale), np.where(of[rows] == a, 1.0, -1.0))
             pairs.append((level, a, b)), weights.append(w), bias.append(c)
     return Model(levels, pairs, np.array(weights, dtype=np.float32).reshape(len(pairs), BUCKETS), np.array(bias), scale)
 
@@ -137,21 +150,20 @@ def predicted(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[list[str]
     return lang.tolist(), np.round(score, 6)
 
 
-def _sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in counts.collect()}
+def _sample(rows: DataFrame, per_language: int) -> tuple[list[Frequencies], list[str]]:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
-        return np.zeros((0, BUCKETS), np.float32), []
-    share = F.create_map(*(F.lit(v) for lang, c in counts.items() for v in (lang, int(1_000_000 * min(1.0, per_language / c)))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+        return [], []
+    limit = F.create_map(*(F.lit(v) for lang, c in counts.items() for v in (lang, C.limit_for(per_language, c))))
+    chosen = rows.where(C.drawn(F.coalesce(limit[F.col("lang")], F.lit(0)), "language", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, off in C.pieces(batches, 1):
-            x = frequencies(raw, off)
-            yield pa.record_batch([part.column(0), pa.array([v.astype(np.float16).tobytes() for v in x]), part.column(2)], ["lang", "x", "doc_id"])
+            at, share = zip(*frequencies(raw, off), strict=True)
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in share]), part.column(2)], ["lang", "at", "share", "doc_id"])
 
-    found = C.arrow_map(chosen.select("lang", "text", "doc_id"), run, "lang string, x binary, doc_id long").limit(2 * per_language * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("x", "ascending")])
-    x = np.stack([np.frombuffer(v, np.float16) for v in found.column("x").to_pylist()]).astype(np.float32) if len(found) else np.zeros((0, BUCKETS), np.float32)
+    found = C.arrow_map(chosen.select("lang", "text", "doc_id"), run, "lang string, at binary, share binary, doc_id long").limit(2 * per_language * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("at", "ascending"), ("share", "ascending")])
+    x = [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float16)) for a, v in zip(found.column("at").to_pylist(), found.column("share").to_pylist(), strict=True)]
     return x, found.column("lang").to_pylist()
 
 

@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 from texts import prose
 
+from pagelens.llm import common as C
 from pagelens.llm import language_id as L
 from pagelens.llm.queries import QUERIES
 
@@ -38,6 +40,22 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_family_comes_first():
-    x = np.eye(6, L.BUCKETS, dtype=np.float32)
+    x = [(np.array([k], np.uint16), np.ones(1, np.float16)) for k in range(6)]
     model = L.fitted(x, ["en", "de", "fr", "es", "xx", "en"])
     assert model.levels[""] == ("germanic", "romance", "xx") and model.levels["germanic"] == ("de", "en") and ("romance", "es", "fr") in model.pairs
+
+
+def test_sampling_draws_at_any_number_of_rows(spark):
+    for rows, of in ((300, 1_000_000), (300, 10**10), (3000, 10**13), (1, 10**15)):
+        assert 0 < C.limit_for(rows, of) / C.SHARES * of <= rows
+    assert C.limit_for(300, 200) == C.SHARES
+    df = spark.range(200_000)
+    assert 200 < df.where(C.drawn(F.lit(C.limit_for(300, 200_000)), "language", "id")).count() < 400
+    # as if there were 10**10 rows of each language: a table of 2 * 10**5 of them draws next to none, but the share isn't 0
+    assert df.where(C.drawn(F.lit(C.limit_for(300, 10**10)) * 10**5, "language", "id")).count() > 0
+
+
+def test_more_than_64_languages(spark):
+    rows = [(k * 100 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + k % 26)}q " * 12, f"l{k:02}") for k in range(70) for i in range(5)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {r[2] for r in rows} and all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got)
