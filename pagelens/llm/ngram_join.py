@@ -20,9 +20,11 @@ those comparisons, so a group of n near copies costs n comparisons, not n * n /
 Shingles are 64-bit hashes, and a set is named by its size and a 64-bit sum of
 mixed hashes; results are exact up to collisions of these.
 
-Null or wordless text: size 0, linked with nothing. Rows that share a doc_id
-are one node and all returned. A null doc_id is returned with no component
-(other rows' components don't see it). Other columns are ignored.
+Null, empty or wordless text: size 0, linked with nothing. Rows that share a
+doc_id are one node and all returned. A null doc_id is returned with no component
+(other rows' components don't see it). A very long text's set is made in one
+task. Equal sets are linked whatever their texts' order; a tie for the smallest
+doc_id can't be. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -354,10 +356,11 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     Rows with a null doc_id stay.
     """
     found = link_components(documents, **options)
-    gone = C.checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    left = documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone, row = C.unused(documents.columns, "gone_id"), C.unused(documents.columns, "row_number")
+    out = C.checkpointed(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct())
+    left = documents.join(out, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     which = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*documents.columns))
-    return left.withColumn("_row", F.row_number().over(which)).where("_row = 1 or doc_id is null").select(*documents.columns)
+    return left.withColumn(row, F.row_number().over(which)).where(F.col(row).eqNullSafe(1) | F.col("doc_id").isNull()).select(*documents.columns)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
