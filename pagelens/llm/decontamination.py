@@ -2,8 +2,9 @@
 
 An item's shingles are its n-word sequences (its whole text, if it has fewer
 words), in lower case and counted. A document's windows have the length of an
-item and lie where a shared shingle puts them: a window that could pass the
-exact check shares shingles, so no other window needs a fingerprint.
+item (or the document's, if that is shorter) and begin at every word. Windows
+that hold no shingle of an item of their length have an exact similarity of 0
+and are skipped; every other window gets a fingerprint.
 
 Fingerprints have 128 bits. They are cut into 8 blocks; an index per block lists
 the items under every value within radius // 8 bits of theirs, so by the
@@ -11,12 +12,16 @@ pigeonhole principle a window within the radius of an item finds it in at least
 one block. Candidates within the radius are verified by the exact similarity of
 counted shingles (the sum of minima over the sum of maxima).
 
-Items are sent out in blocks of about `block` items, each block in one pass over
-the documents, so what is sent has a bound for benchmarks of any size; nothing
-is shuffled but the hits.
+Items are sent out in blocks of about `block` items, so what is sent has a bound
+for benchmarks of any size. With more than one block, the documents that hold a
+shingle of any item are stored first, in a scan for each SHINGLES_AT_ONCE
+shingles, and only those are compared with the blocks. Nothing else is shuffled.
 
-Null or empty texts and items match nothing. Equal rows are returned each; equal
-items match each. Other columns are ignored.
+Null or empty texts and items match nothing, and an empty table gives nothing.
+Equal rows are returned each; equal items match each. Of a document's windows
+that are equally like an item, the first is named. A very long text is read in
+one task, its windows fingerprinted some thousands at once. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from pagelens.llm import common as C
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 31, 8
-ITEMS_AT_ONCE = 500
+ITEMS_AT_ONCE, SHINGLES_AT_ONCE = 500, 4_000_000
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 _WIDTH = 128 // BLOCKS
 
@@ -113,6 +118,24 @@ class Items:
                 for i in own[target == h[k]].tolist():
                     best.setdefault((doc, i), (1.0, int(at[k] - first[doc])))
 
+    def _windows(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(first word, words, document) of every item-sized window that holds a shared shingle: one at `word`, of the items in lo:hi."""
+        count = hi - lo
+        row = np.repeat(np.arange(len(word)), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
+        pair = np.unique(np.stack([word[row], self.size[self.item_of[k]]], axis=1), axis=0)
+        word, size = pair.T
+        doc = np.searchsorted(first, word, side="right") - 1
+        begin, end = first[doc], first[doc + 1]
+        size = np.minimum(size, end - begin)
+        # windows of that length in which the shingle lies
+        last = np.minimum(word, end - size)
+        start = np.minimum(np.maximum(begin, word + np.minimum(self.words, size) - size), last)
+        n = last - start + 1
+        row = np.repeat(np.arange(len(word)), n)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[row]
+        return np.unique(np.stack([start, size[row], doc[row]], axis=1), axis=0)
+
     def found(self, raw: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """By document and item: the best similarity and the window's first word."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -128,15 +151,7 @@ class Items:
         some, lo, hi = some[hi > lo], lo[hi > lo], hi[hi > lo]
         if not len(some):
             return best
-        count = hi - lo
-        row = np.repeat(np.arange(len(some)), count)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
-        word = at[some][row]
-        doc = np.searchsorted(first, word, side="right") - 1
-        size = self.size[self.item_of[k]]
-        start = np.clip(word - self.offset_of[k], first[doc], np.maximum(first[doc], first[doc + 1] - size))
-        size = np.minimum(size, first[doc + 1] - start)
-        win = np.unique(np.stack([start, size, doc], axis=1), axis=0)
+        win = self._windows(at[some], lo, hi, first)
         # shingles of each window: those that begin in it and end in it
         a = np.searchsorted(at, win[:, 0])
         b = np.maximum(a + 1, np.searchsorted(at, win[:, 0] + np.maximum(1, win[:, 1] - self.words + 1)))
@@ -175,18 +190,60 @@ def _hits(docs: DataFrame, items: Items) -> DataFrame:
     return C.arrow_map(docs, run, SCHEMA)
 
 
-def _blocks(benchmark: DataFrame, words: int, similarity: float, radius: int, block: int) -> Iterator[Items]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    parts = max(1, -(-items.count() // block))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+
+
+def _parts(items: DataFrame, block: int) -> int:
+    return max(1, -(-items.count() // block))
+
+
+def _blocks(items: DataFrame, parts: int, words: int, similarity: float, radius: int) -> Iterator[Items]:
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow().sort_by([("item_id", "ascending")])
         yield Items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words, similarity, radius)
 
 
+def _marked(docs: DataFrame, items: DataFrame, words: int, name: str) -> DataFrame:
+    """The rows of docs with a column that tells whether they hold a shingle of an item, or are as short as one."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, off in C.pieces(batches, 0):
+            low = C.lowered(raw)
+            starts, ends, first = C.word_spans(low, off)
+            own = C.word_hashes(low, starts, ends)
+            yield pa.record_batch([pa.array(np.unique(C.shingles(own, first, words)[0]).view(np.int64))], ["h"])
+
+    every = C.checkpointed(C.arrow_map(items.select("text"), of_items, "h long").distinct())
+    scans = max(1, -(-every.count() // SHINGLES_AT_ONCE))
+    at, out = docs.columns.index("text"), docs.withColumn(name, F.lit(False))
+    for k in range(scans):
+        some = np.sort(every.where(F.pmod("h", F.lit(scans)) == k).toArrow().column(0).to_numpy().view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            for part, raw, off in C.pieces(batches, at):
+                low = C.lowered(raw)
+                starts, ends, first = C.word_spans(low, off)
+                own = C.word_hashes(low, starts, ends)
+                keep = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+                for n in range(1, words + 1):  # items of fewer words are shingles of that length
+                    h, word = C.shingles(own, first, n)
+                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
+                    keep[np.searchsorted(first, word[hit], side="right") - 1] = True
+                yield part.set_column(part.num_columns - 1, name, pa.array(keep))
+
+        out = C.arrow_map(out, run, out.schema)
+    return C.stored(out)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS_AT_ONCE) -> DataFrame:
     """Hits (doc_id, item_id, start_word, n_words, similarity), the best window for each document and item."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [_hits(docs, items) for items in _blocks(benchmark, words, similarity, radius, block)])
+    docs, items = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
+    if (parts := _parts(items, block)) > 1:
+        docs = _marked(docs, items, words, "held").where("held").drop("held")
+    return reduce(DataFrame.unionByName, [_hits(docs, some) for some in _blocks(items, parts, words, similarity, radius)])
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -204,7 +261,13 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, words: int
 
         return C.arrow_map(df, run, df.schema)
 
-    return reduce(passed, _blocks(benchmark, words, similarity, radius, block), documents)
+    items = _items(benchmark)
+    if (parts := _parts(items, block)) == 1:
+        return passed(documents, *_blocks(items, 1, words, similarity, radius))
+    name = C.unused(documents.columns, "held")
+    marked = _marked(documents, items, words, name)
+    held = reduce(passed, _blocks(items, parts, words, similarity, radius), marked.where(name).drop(name))
+    return marked.where(~F.col(name)).drop(name).unionByName(held)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -74,3 +74,48 @@ def test_odd_rows(spark, odd, empty):
     assert D.contaminated(empty, bench).count() == 0 and D.contaminated(odd, bench.where("false")).count() == 0
     kept = D.without_contaminated(odd, bench)
     assert kept.columns == odd.columns and kept.where("doc_id in (6, 12)").count() == 0
+
+
+def test_every_window_that_could_match_gets_a_fingerprint():
+    """Against all windows of all item lengths: those left out hold no shingle of an item of their length."""
+    r = random.Random(9)
+    words = ["w0", "w1", "w2"]
+    texts = [prose(i, r.randint(5, 14), words).encode() for i in range(8)]
+    items = D.Items(list(range(8)), texts, 5, 0.8, D.RADIUS)
+    docs = [prose(100 + d, r.randint(1, 60), words).encode() for d in range(40)]
+    seen = []
+    plain = items._windows
+    items._windows = lambda *x: seen.append(plain(*x)) or seen[-1]
+    off = np.cumsum([0, *map(len, docs)])
+    items.found(np.frombuffer(b"".join(docs), np.uint8), off)
+    first = np.cumsum([0, *(len(d.split()) for d in docs)])
+    got = {(int(a - first[d]), int(n), int(d)) for a, n, d in seen[0]}
+    want = set()
+    for d, t in enumerate(docs):
+        w = t.split()
+        for x in texts:
+            v = x.split()
+            n = min(len(v), len(w))
+            for k in range(len(w) - n + 1):
+                if set(grams(w[k : k + n])) & set(grams(v)):
+                    want.add((k, n, d))
+    assert got == want and len(want) > 50
+
+
+def test_recall_of_the_radius_against_all_windows(spark):
+    """Passages with words changed at random, on the tables' own items: windows at 0.8 or more that the radius lets pass."""
+    bench = [r.text.encode() for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    items = D.Items(list(range(len(bench))), bench, 5, 0.8, D.RADIUS)
+    r = random.Random(1)
+    near = found = 0
+    for i, text in enumerate(bench):
+        for _ in range(20):
+            w = text.lower().split()
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = b"zz%d" % r.randrange(99)
+            a, b = grams(w), grams(text.lower().split())
+            if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                near += 1
+                t = b" ".join([b"q1 q2 q3", *w, b"q4 q5"])
+                found += any(items.ids[k] == i for _, k in items.found(np.frombuffer(t, np.uint8), np.array([0, len(t)])))
+    assert near > 100 and found >= 0.99 * near
