@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,27 @@ def dhash(grey: Column, width: int = 9, height: int = 8) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits * height - 1)), F.lit(0).cast("bigint"), lambda h, i: F.shiftleft(h, 1).bitwiseOR(F.when(grey[(F.floor(i / bits) * width + i % bits).cast("int")] > grey[(F.floor(i / bits) * width + i % bits + 1).cast("int")], F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))))
 
 
+def _places(side: int, turns: int) -> np.ndarray:
+    """Of a square grid turned clockwise, where each value stands in the grid as it was."""
+    return np.rot90(np.arange(side * side).reshape(side, side), -turns)
+
+
+def turned(grid: Column, side: int, turns: int = 1) -> Column:
+    """A square row-major grid, turned by so many quarters clockwise."""
+    return F.transform(F.lit(_places(side, turns).reshape(-1).tolist()), lambda i: F.get(grid, i))
+
+
+def turn_hashes(grid: Column, side: int = 9) -> Column:
+    """dHash of a square grid (a stored column; its last row is left out) turned by 0, 90, 180 and 270 degrees clockwise."""
+
+    def hashed(turns: int) -> Column:
+        at = _places(side, turns)[:-1]
+        pairs = F.arrays_zip(F.lit(at[:, :-1].reshape(-1).tolist()).alias("a"), F.lit(at[:, 1:].reshape(-1).tolist()).alias("b"))
+        return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((F.get(grid, x["a"]) > F.get(grid, x["b"])).cast("bigint")))
+
+    return F.array(*(hashed(turns) for turns in range(4)))
+
+
 def bands(h: Column) -> Column:
     """The hash's bands as an array of (band, value). Up to 4 differing bits leave one of 5 bands equal."""
     out, at = [], 64
@@ -45,6 +68,65 @@ def ssim(a: Column, b: Column) -> Column:
     return (2 * ma * mb + _C1) * (2 * cov + _C2) / ((ma * ma + mb * mb + _C1) * (va + vb + _C2))
 
 
+def least_distance(a: Column, b: Column) -> Column:
+    """The least distance between any hash of one array and any of the other."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: distance(x, y)))))
+
+
+def exif_orientation(content: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG's Exif header names; 1 without one."""
+    try:
+        if content[:2] != b"\xff\xd8":
+            return 1
+        at = 2
+        while at < len(content) - 4 and content[at] == 0xFF and content[at + 1] not in (0xD9, 0xDA):
+            size = int.from_bytes(content[at + 2 : at + 4], "big")
+            if content[at + 1] == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
+                tiff = content[at + 10 :]
+                order = "little" if tiff[:2] == b"II" else "big"
+                (first,) = struct.unpack(("<" if order == "little" else ">") + "I", tiff[4:8])
+                for k in range(int.from_bytes(tiff[first : first + 2], order)):
+                    entry = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
+                    if int.from_bytes(entry[:2], order) == 0x0112:
+                        value = int.from_bytes(entry[8:10], order)
+                        return value if 1 <= value <= 8 else 1
+            at += 2 + size
+    except (struct.error, IndexError):
+        pass
+    return 1
+
+
+@F.pandas_udf(T.IntegerType())
+def orientation(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: exif_orientation(bytes(x)) if x is not None else 1).astype("int32")
+
+
+# The quarter turns clockwise and the mirroring that undo each Exif orientation.
+UPRIGHT = {1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (1, True), 6: (1, False), 7: (3, True), 8: (3, False)}
+
+
+def upright(pixels: np.ndarray, orientation_: int) -> np.ndarray:
+    """An image (rows, columns, channels) as its orientation wants it shown."""
+    turns, mirrored = UPRIGHT.get(orientation_, UPRIGHT[1])
+    # mirrored before the turn: along the rows, or for quarter turns along the columns
+    if mirrored:
+        pixels = pixels[::-1] if turns % 2 else pixels[:, ::-1]
+    return np.rot90(pixels, -turns)
+
+
+@F.pandas_udf(T.StringType())
+def pixel_hash(rgba: pd.Series, width: pd.Series, height: pd.Series, orientation_: pd.Series) -> pd.Series:
+    """SHA-256 of the upright image's width, height (32-bit, little-endian) and RGBA bytes; null above 64 Mpx or without an image."""
+    out = []
+    for data, w, h, o in zip(rgba, width, height, orientation_, strict=True):
+        if data is None or w * h > 64_000_000 or len(data) != 4 * w * h:
+            out.append(None)
+            continue
+        shown = upright(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 4), int(o))
+        out.append(hashlib.sha256(struct.pack("<II", shown.shape[1], shown.shape[0]) + shown.tobytes()).hexdigest())
+    return pd.Series(out, dtype=object)
+
+
 def resized(grey: np.ndarray, width: int, height: int) -> np.ndarray:
     """Bilinear, sampled at the top-left corner, rounded half up."""
     h, w = grey.shape

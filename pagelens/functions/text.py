@@ -47,14 +47,14 @@ def first_known_format(*candidates: Column) -> Column:
 
 
 def sniffed_mime(content: Column) -> Column:
-    """An image's type by its first bytes; empty if unknown."""
+    """An image's type by its first bytes; an SVG's by its element in the first 512; empty if unknown."""
     head = F.hex(F.substring(content, 1, 16))
     is_ = head.startswith
     return (
         F.when(is_("89504E47"), "image/png").when(is_("FFD8FF"), "image/jpeg").when(is_("47494638"), "image/gif")
         .when(is_("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").when(is_("00000100"), "image/x-icon").when(is_("424D"), "image/bmp")
         .when(is_("49492A00") | is_("4D4D002A"), "image/tiff").when(F.substring(head, 9, 16) == "6674797061766966", "image/avif")
-        .when(F.decode(F.substring(content, 1, 16), "ISO-8859-1").rlike(r"(?i)<svg[\s>]"), "image/svg+xml").otherwise("")
+        .when(F.decode(F.substring(content, 1, 512), "ISO-8859-1").rlike(r"(?i)<svg[\s>]"), "image/svg+xml").otherwise("")
     )
 
 
@@ -82,10 +82,41 @@ def human_duration(ms: Column) -> Column:
     return F.when(ms.isNull() | (ms < 0), "-").when(ms < 1000, F.concat(half_up(ms).cast("string"), F.lit(" ms"))).when(ms < 5000, F.format_string("%.2f s", ms / 1000.0)).when(ms < 60000, F.format_string("%.1f s", ms / 1000.0)).otherwise(long)
 
 
+# What messages of each class say.
+ERROR_PATTERNS = (("auth", "401|403|unauth|forbidden|login|cookie"), ("blocked", "cors|blocked by client|fetch failed|network"), ("timeout", "timeout|timed out"))
+
+
 def error_class(message: Column) -> Column:
     """auth, blocked, timeout or null."""
     m = F.lower(message)
-    return F.when(m.rlike("401|403|unauth|forbidden|login|cookie"), "auth").when(m.rlike("cors|blocked by client|fetch failed|network"), "blocked").when(m.rlike("timeout|timed out"), "timeout")
+    return F.coalesce(*(F.when(m.rlike(p), F.lit(name)) for name, p in ERROR_PATTERNS))
+
+
+def parameter_digest(params: Column, seed: str = "") -> Column:
+    """A digest of a map's entries whatever their order: of each entry, in order of keys, the key's and the value's digests."""
+    pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(F.sha2(e["key"], 256), F.lit("_"), F.sha2(e["value"], 512)))
+    return F.sha2(F.concat(F.sha2(F.array_join(pairs, ","), 256), F.lit(seed)), 512)
+
+
+def merged_settings(defaults: Column, given: Column, fields: dict[str, str | dict]) -> Column:
+    """Two structs (null fields are not set) as one, leaf by leaf: the given value, else the default; `fields` names the leaves, nested."""
+    out = []
+    for name, kind in fields.items():
+        a, b = defaults[name], given[name]
+        out.append((merged_settings(a, b, kind) if isinstance(kind, dict) else F.coalesce(b, a)).alias(name))
+    return F.struct(*out)
+
+
+def safeguarded(value: Column, allowed: tuple[str, ...], default: str) -> Column:
+    """The lower-cased value if it is allowed, else the default."""
+    return F.when(F.lower(value).isin(*allowed), F.lower(value)).otherwise(F.lit(default))
+
+
+def clamped(value: Column, least: float | None = None, most: float | None = None) -> Column:
+    """A numeric setting within its limits; a null stays one."""
+    if least is not None:
+        value = F.when(value < least, F.lit(least)).otherwise(value)
+    return value if most is None else F.when(value > most, F.lit(most)).otherwise(value)
 
 
 def text_hash(text: Column, signed: bool = False) -> Column:

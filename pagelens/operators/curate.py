@@ -22,7 +22,41 @@ def matching(df: DataFrame, search: str = "", search_in: tuple[str, ...] = (), m
 
 def by_name(df: DataFrame, name: str, detected: str) -> DataFrame:
     """Sorted by name regardless of case and accents, then by detection."""
-    return df.orderBy(F.collate(F.coalesce(F.col(name), F.lit("")), "UNICODE_CI_AI"), detected)
+    return df.orderBy(*name_order(name, detected))
+
+
+def first_match(df: DataFrame, search: str, search_in: tuple[str, ...], position: str) -> DataFrame:
+    """The first row by position that holds the search text, in any case; no row if none does."""
+    return matching(df, search=search, search_in=search_in).orderBy(position).limit(1)
+
+
+def by_dom_order(df: DataFrame, order: str, sequence: str, name: str) -> DataFrame:
+    """Sorted by the place in the page, the order of discovery, then the name; rows without a place last."""
+    return df.orderBy(*dom_order(order, sequence, name))
+
+
+def dom_order(order: str, sequence: str, name: str) -> list[Column]:
+    return [F.asc_nulls_last(order), F.asc_nulls_last(sequence), F.collate(F.coalesce(F.col(name), F.lit("")), "UNICODE")]
+
+
+def title_order(title: str, added: str, label: str, key: str) -> list[Column]:
+    """By title without case, the last added first, by label; `key` settles ties."""
+    return [F.lower(title), F.desc(added), F.asc(label), F.asc(key)]
+
+
+def name_order(name: str, detected: str) -> list[Column]:
+    """By name regardless of case and accents, then by detection."""
+    return [F.collate(F.coalesce(F.col(name), F.lit("")), "UNICODE_CI_AI"), F.col(detected)]
+
+
+def stamped(pages: DataFrame, nodes: Column, most: int = 20_000) -> DataFrame:
+    """(page_id, node, dom_order) of an array of nodes in page order, from 1, at most so many of a page."""
+    return pages.select("page_id", F.posexplode(nodes).alias("pos", "node")).where(F.col("pos") < most).select("page_id", "node", (F.col("pos") + 1).alias("dom_order"))
+
+
+def last_runs(df: DataFrame, group: list[str], order: list[Column], same: list[str], at: str, k: int = 5) -> DataFrame:
+    """The last runs of collapse_runs(), each group's newest first."""
+    return top_per_group(collapse_runs(df, group, order, same, at), group, [F.desc("run")], k)
 
 
 def by_greatest(df: DataFrame, value: Column, detected: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,16 +25,24 @@ def hash_groups(df: DataFrame, key: str, layer: str) -> DataFrame:
     return out.where(F.size("member_ids") > 1).select(F.concat(F.lit(f"{layer.lower()}:"), key).alias("group_id"), "representative_id", "member_ids")
 
 
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a local folder only where none is set and Spark is local."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of pairs (a, b): the smallest node that pairs reach.
 
     Each round a node takes the smallest label among its neighbours and then its
     label's label; rounds are checkpointed in the cluster's folder.
     """
-    spark = edges.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder(edges.sparkSession)
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().checkpoint()
     label = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")).select(F.col("x").alias("node"), "l").checkpoint()
     for _ in range(most_rounds):

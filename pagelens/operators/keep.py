@@ -58,3 +58,21 @@ def append_unseen(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def persistent_union(current: DataFrame, before: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Current rows and those earlier ones whose kind outlives a scan."""
     return current.unionByName(before.where(F.col("kind").isin(*kinds)))
+
+
+def without_keys(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key isn't among those to delete."""
+    return df.join(gone.select(*key).distinct(), key, "left_anti")
+
+
+def only_valid(registry: DataFrame, valid: DataFrame, key: list[str]) -> DataFrame:
+    """The registry without keys that are no longer valid."""
+    return registry.join(valid.select(*key).distinct(), key, "left_semi")
+
+
+def united(lists: list[DataFrame], column: str) -> DataFrame:
+    """The distinct values, trimmed and without case, of several lists."""
+    out = lists[0].select(column)
+    for more in lists[1:]:
+        out = out.unionByName(more.select(column))
+    return out.select(F.lower(F.trim(column)).alias(column)).where(F.col(column) != "").distinct()

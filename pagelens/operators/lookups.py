@@ -65,6 +65,50 @@ def near_hashes(left: DataFrame, right: DataFrame, most: int = imaging.MAX_DISTA
     return a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (far <= most)).select("id_a", "id_b", far.alias("distance")).distinct()
 
 
+def near_images(images: DataFrame, most: int = imaging.MAX_DISTANCE) -> DataFrame:
+    """Pairs (id_a, id_b, distance) of images (id, hashes of their four turns, content) within the distance in any turns, id_a < id_b.
+
+    Images with equal hashes are one class from the start: each member is paired
+    with the class's first image only, and only those first ones meet on bands,
+    so many copies don't make a bucket that grows with their square. Equal
+    contents have distance 0 whatever their hashes.
+    """
+    first = images.groupBy("hashes").agg(F.min("id").alias("rep"), F.min_by("content", "id").alias("content"))
+    members = images.join(first.select("hashes", "rep"), "hashes").where(F.col("id") > F.col("rep")).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+    keys = first.select(F.col("rep").alias("id"), "hashes", "content", F.explode(F.array_distinct(F.flatten(F.transform("hashes", imaging.bands)))).alias("key"))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "hashes", "content"))) for side in "ab")
+    met = a.join(b, "key").where(F.col("id_a") < F.col("id_b")).drop("key").dropDuplicates(["id_a", "id_b"])
+    far = F.when(F.col("content_a") == F.col("content_b"), F.lit(0)).otherwise(imaging.least_distance(F.col("hashes_a"), F.col("hashes_b")))
+    return met.withColumn("distance", far).where(F.col("distance") <= most).select("id_a", "id_b", "distance").unionByName(members)
+
+
+def denied(rows: DataFrame, host: Column, patterns: DataFrame) -> DataFrame:
+    """Rows whose host no pattern `*://*.domain/*` (column pattern) denies; patterns may repeat."""
+    domains = patterns.select(F.regexp_extract("pattern", r"^\*://(?:\*\.)?([^/]+)/\*$", 1).alias("domain")).where("domain <> ''").distinct()
+    hosts = rows.select(host.alias("denied_host")).where("denied_host <> ''").distinct()
+    hit = hosts.select("denied_host", F.explode(urls.suffixes(F.col("denied_host"))).alias("domain")).join(domains, "domain", "left_semi").select("denied_host").distinct()
+    return rows.withColumn("own_host", host).join(hit, F.col("own_host") == F.col("denied_host"), "left_anti").drop("own_host")
+
+
+def allowed_families(rows: DataFrame, family: str, flags: Column) -> DataFrame:
+    """Rows whose family a map of flags doesn't switch off; one it doesn't name is on."""
+    return rows.where(F.coalesce(F.try_element_at(flags, F.col(family)), F.lit(True)))
+
+
+def with_confirmed(pairs: DataFrame, cache: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b) with the cached verdict (pair, verdict) of the same two ids in any order."""
+    known = cache.groupBy("pair").agg(F.max("verdict").alias("verdict"))
+    return pairs.withColumn("pair", pair_key(F.col("id_a"), F.col("id_b"))).join(known, "pair", "left")
+
+
+def file_status(online: DataFrame, files: DataFrame, title: str) -> DataFrame:
+    """Titles online, in files, or both (a full outer join by lower-cased title): available, offline or completed."""
+    a = online.select(F.lower(F.trim(title)).alias("key"), F.lit(True).alias("online")).distinct()
+    b = files.groupBy(F.lower(F.trim(title)).alias("key")).agg(F.count("*").alias("files"))
+    status = F.when(F.col("online").isNotNull() & F.col("files").isNotNull(), "completed").when(F.col("online").isNotNull(), "available").otherwise("offline")
+    return a.join(b, "key", "full_outer").select("key", F.coalesce("files", F.lit(0)).alias("files"), status.alias("status"))
+
+
 def passes_metadata(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether intrinsic sizes and byte lengths are equal and rendered sizes within a pixel; a missing side passes."""
 

@@ -15,6 +15,34 @@ def merged_counters(a: Column, b: Column) -> Column:
     return F.greatest(F.coalesce(F.floor(a), F.lit(0)), F.coalesce(F.floor(b), F.lit(0)), F.lit(0))
 
 
+def scan_counters(log: DataFrame, scan: str, layer: str, duplicate: str, failed: str, fetched: str) -> DataFrame:
+    """A scan's counters: candidates, fetched, new and duplicate ones of each layer (1 to 3), errors."""
+    layers = [F.count_if((F.col(layer) == n) & (F.col(duplicate) == d)).alias(f"l{n}_{'dup' if d else 'new'}") for n in (1, 2, 3) for d in (False, True)]
+    return log.groupBy(scan).agg(F.count("*").alias("candidates"), F.count_if(fetched).alias("fetched"), *layers, F.count_if(failed).alias("errors"))
+
+
+def discovery(rows: DataFrame, seen: Column, visible: Column, selected: Column) -> DataFrame:
+    """One row: total, new, seen, visible and selected rows."""
+    return rows.groupBy().agg(F.count("*").alias("total"), F.count_if(~seen).alias("fresh"), F.count_if(seen).alias("seen"), F.count_if(visible).alias("visible"), F.count_if(selected).alias("selected"))
+
+
+def seen_registry(rows: DataFrame, key: str, scan: str, position: str) -> DataFrame:
+    """(key, first_seen, last_seen, seen_count, discovery): seen_count counts the turns from one scan to another, in order of detection."""
+    w = Window.partitionBy(key).orderBy(position)
+    turn = rows.withColumn("turn", F.when(F.lag(scan).over(w).eqNullSafe(F.col(scan)), 0).otherwise(1))
+    out = turn.groupBy(key).agg(F.min(position).alias("first_seen"), F.max(position).alias("last_seen"), F.sum("turn").alias("seen_count"))
+    return out.withColumn("discovery", F.when(F.col("seen_count") == 1, "new").otherwise("seen"))
+
+
+def monthly_milestones(rows: DataFrame, at: str, lifetime: int = 1500, monthly: int = 300) -> DataFrame:
+    """(month, n, previous_n, prompt): prompt if the lifetime total, the month or the one before reaches its limit; a missing month counts 0."""
+    each = rows.groupBy(F.date_format(at, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    before = each.select(F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"), F.col("n").alias("previous_n"))
+    total = each.agg(F.sum("n").alias("lifetime"))  # one row
+    previous = F.coalesce("previous_n", F.lit(0))
+    return each.join(before, "month", "left").crossJoin(F.broadcast(total)).select("month", "n", previous.alias("previous_n"), ((F.col("lifetime") >= lifetime) | (F.col("n") >= monthly) | (previous >= monthly)).alias("prompt"))
+
+
 def viewer_rollup(frames: DataFrame, viewer: str, ok: Column, detected: Column, pages: Column) -> DataFrame:
     return frames.groupBy(viewer).agg(F.bool_or(ok).alias("ok"), F.bool_or(detected).alias("detected"), F.max(pages).alias("pages"))
 
@@ -106,7 +134,15 @@ def ranges(size: Column, part: int) -> Column:
 
 
 def not_stopped(batches: DataFrame, stops: DataFrame, memory: float = 600.0) -> DataFrame:
-    """Batches (scan_id, ts) unless their scan was stopped before them, within the time that stops are remembered."""
-    s = stops.select("scan_id", "stopped_at")
-    span = F.expr(f"make_dt_interval(0, 0, 0, {memory})")
-    return batches.join(s, (batches.scan_id == s.scan_id) & (batches.ts >= s.stopped_at) & (batches.ts <= s.stopped_at + span), "left_anti")
+    """Batches (scan_id, ts) unless their scan was stopped before them, within the time that stops are remembered.
+
+    Only a scan's last stop before a batch matters, so both are one sequence by
+    scan and time; a range join would pair all of a scan's stops and batches.
+    """
+    both = batches.select("scan_id", F.col("ts").alias("t"), F.lit(1).alias("o"), F.struct(*batches.columns).alias("row")).unionByName(
+        stops.select("scan_id", F.col("stopped_at").alias("t"), F.lit(0).alias("o")), allowMissingColumns=True
+    )
+    w = Window.partitionBy("scan_id").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("o") == 0, F.col("t"))).over(w)
+    open_ = last.isNull() | (F.timestamp_diff("MICROSECOND", last, F.col("t")) > memory * 1e6)
+    return both.withColumn("open", open_).where("o = 1 and open").select("row.*")

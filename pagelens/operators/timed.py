@@ -41,9 +41,19 @@ def debounced(log: DataFrame, key: str, at: str, tie: str, quiet: float, value:
 
 
 def request_pairs(requests: DataFrame, responses: DataFrame, key: list[str], seconds: float) -> DataFrame:
-    """Requests with the responses of the same key that follow within the time (inner)."""
-    r = responses.withColumnRenamed("ts", "response_ts")
-    return requests.join(r, key).where((F.col("response_ts") >= F.col("ts")) & (F.col("response_ts") <= F.col("ts") + _seconds(seconds)))
+    """Requests with the response of the same key that follows within the time, at most once each.
+
+    A later request replaces the one that waits, and a response takes it away; so
+    a request's response is the event of its key next to it. `ts` orders both
+    sides; a response at a request's time follows it.
+    """
+    kept = [c for c in responses.columns if c not in (*key, "ts")]
+    a = requests.select(*key, "ts", F.lit(0).alias("side"), F.struct(*requests.columns).alias("request"))
+    b = responses.select(*key, "ts", F.lit(1).alias("side"), F.struct(*kept, F.col("ts").alias("response_ts")).alias("response"))
+    w = Window.partitionBy(*key).orderBy("ts", "side")
+    paired = a.unionByName(b, allowMissingColumns=True).withColumn("request", F.lag("request").over(w)).where("side = 1 and request is not null")
+    paired = paired.select("request.*", "response.*")
+    return paired.where(F.col("response_ts") <= F.col("ts") + _seconds(seconds))
 
 
 def _sequential(log: DataFrame, key: str, at: str, tie: str, step, schema: str) -> DataFrame:

@@ -45,10 +45,7 @@ def q_scan_stats(spark, d):
 def q_occurrence_groups(spark, d):
     """Seen registry: first, last and number of scans (a scan is a source) of each content, in order of detection."""
     docs = _t(spark, d, "documents").select("doc_id", "source", F.sha1(F.col("text").cast("binary")).alias("content"))
-    w = Window.partitionBy("content").orderBy("doc_id")
-    turn = docs.withColumn("turn", F.when(F.lag("source").over(w).eqNullSafe(F.col("source")), 0).otherwise(1))
-    out = turn.groupBy("content").agg(F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen"), F.sum("turn").alias("seen_count"))
-    return out.withColumn("discovery", F.when(F.col("seen_count") == 1, "new").otherwise("seen"))
+    return reports.seen_registry(docs, "content", "source", "doc_id")
 
 
 def q_keep_best(spark, d):
@@ -141,7 +138,9 @@ def q_append_unseen(spark, d):
 
 
 def q_set_diff(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).join(_t(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), "custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey"))
+    return keep.without_keys(_t(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), urgent, ["custkey"])
 
 
 def q_set_intersect(spark, d):
@@ -203,10 +202,7 @@ def q_detection_rank(spark, d):
 
 
 def q_monthly_milestone(spark, d):
-    o = _t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    before = o.select(F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"), F.col("n").alias("previous_n"))
-    total = o.agg(F.sum("n").alias("lifetime"))
-    return o.join(before, "month", "left").crossJoin(F.broadcast(total)).select("month", "n", F.coalesce("previous_n", F.lit(0)).alias("previous_n"), ((F.col("lifetime") >= 1500) | (F.col("n") >= 300) | (F.coalesce("previous_n", F.lit(0)) >= 300)).alias("prompt"))
+    return reports.monthly_milestones(_t(spark, d, "orders"), "o_orderdate")
 
 
 def q_ttl_cache(spark, d):
@@ -256,33 +252,42 @@ def q_valid_fact(spark, d):
 
 
 def _grids(spark, d):
-    # 64 values as an 8 x 8 grid of grey levels
-    v = _t(spark, d, "embeddings").select("vec_id", "label", F.slice(F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 64 + 128)))), 1, 64).alias("grey"))
-    return v
+    # 64 values as an 8 x 9 grid of grey levels, the first ones twice
+    grey = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 64 + 128))))
+    return _t(spark, d, "embeddings").select("vec_id", "label", F.concat(F.slice(grey, 1, 64), F.slice(grey, 1, 8)).alias("grey"))
+
+
+def _hashes(spark, d):
+    """Hashes (id, h) of all images, and of a copy of every third with its 2 or 3 lowest bits inverted."""
+    own = _grids(spark, d).select(F.col("vec_id").alias("id"), imaging.dhash(F.col("grey")).alias("h"))
+    return own.unionByName(own.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), F.col("h").bitwiseXOR(F.when(F.col("id") % 2 == 0, F.lit(3)).otherwise(F.lit(7)).cast("bigint")).alias("h")))
 
 
 def q_dhash(spark, d):
-    return _grids(spark, d).select("vec_id", imaging.dhash(F.col("grey"), 8, 8).alias("dhash"))
+    return _grids(spark, d).select("vec_id", imaging.dhash(F.col("grey")).alias("dhash"))
 
 
 def q_dhash_bands(spark, d):
-    h = _grids(spark, d).select(F.col("vec_id").alias("id"), imaging.dhash(F.col("grey"), 8, 8).bitwiseAND(F.lit(0x00FF00FF00FF)).alias("h"))
+    h = _hashes(spark, d)
     return lookups.near_hashes(h, h, 4)
 
 
 def q_ssim_pairs(spark, d):
-    g = _grids(spark, d).select("vec_id", "label", F.transform("grey", lambda x: x.cast("double")).alias("g"))
-    h = _grids(spark, d).select(F.col("vec_id").alias("id"), imaging.dhash(F.col("grey"), 8, 8).bitwiseAND(F.lit(0x00FF00FF00FF)).alias("h"))
+    h = _hashes(spark, d)
     pairs = lookups.near_hashes(h, h, 2)
-    a = g.select(F.col("vec_id").alias("id_a"), F.col("g").alias("ga"))
-    b = g.select(F.col("vec_id").alias("id_b"), F.col("g").alias("gb"))
+    g = _grids(spark, d).select("vec_id", F.transform("grey", lambda x: x.cast("double")).alias("g"))
+    changed = F.transform("g", lambda x, i: F.when(i % 9 == 0, F.greatest(F.lit(0.0), x - 8)).otherwise(x))
+    every = g.unionByName(g.select((F.col("vec_id") + 1_000_000).alias("vec_id"), changed.alias("g")))
+    a = every.select(F.col("vec_id").alias("id_a"), F.col("g").alias("ga"))
+    b = every.select(F.col("vec_id").alias("id_b"), F.col("g").alias("gb"))
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.round(imaging.ssim(F.col("ga"), F.col("gb")), 6).alias("score"))
 
 
 def q_dup_components(spark, d):
-    h = _grids(spark, d).select(F.col("vec_id").alias("id"), imaging.dhash(F.col("grey"), 8, 8).bitwiseAND(F.lit(0x00FF00FF00FF)).alias("h"))
+    h = _hashes(spark, d)
     pairs = lookups.near_hashes(h, h, 2)
-    return groups.connected(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    chain = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(h.where("id < 1000000 and id % 6 = 0").select(F.col("id").alias("a"), (F.col("id") + 3).alias("b")))
+    return groups.connected(chain)
 
 
 def q_full_outer_status(spark, d):

@@ -1,16 +1,20 @@
-"""SQL of the same meaning for the queries of plans.catalog, as DuckDB runs it. Queries without an entry keep sequential state or pack bytes."""
+"""SQL of the same meaning for the queries of plans.catalog, as DuckDB runs it. q_crc and q_zip_pack have none: it has no CRC-32 and no archives."""
 
 from __future__ import annotations
 
-_GRID = "SELECT vec_id, label, list_transform(embedding[1:64], lambda x: CAST(floor(greatest(0.0, least(255.0, CAST(x AS DOUBLE) * 64 + 128))) AS BIGINT)) AS grey FROM embeddings"
-_BITS = "CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, 56), lambda i: CASE WHEN grey[(i // 7) * 8 + i % 7 + 1] > grey[(i // 7) * 8 + i % 7 + 2] THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END)), lambda h, b: h * 2 + b) AS BIGINT)"
-_MASKED = f"SELECT vec_id AS id, {_BITS} & 1095233372415 AS h FROM ({_GRID})"
+_GREY = "list_transform(embedding, lambda x: CAST(floor(greatest(0.0, least(255.0, CAST(x AS DOUBLE) * 64 + 128))) AS BIGINT))"
+_GRID = f"SELECT vec_id, list_concat(g[1:64], g[1:8]) AS grey FROM (SELECT vec_id, {_GREY} AS g FROM embeddings)"
+_WIDE = f"SELECT vec_id, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(0, 64), lambda i: CASE WHEN grey[(i // 8) * 9 + i % 8 + 1] > grey[(i // 8) * 9 + i % 8 + 2] THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END)), lambda h, b: h * 2 + b) AS u FROM ({_GRID})"
+_HASH = f"SELECT vec_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS h FROM ({_WIDE})"
+_HASHES = f"SELECT vec_id AS id, h FROM ({_HASH}) UNION ALL SELECT vec_id + 1000000, xor(h, CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 7 END) FROM ({_HASH}) WHERE vec_id % 3 = 0"
+_SHOWN = f"SELECT vec_id, list_transform(grey, lambda x: CAST(x AS DOUBLE)) AS g FROM ({_GRID}) UNION ALL SELECT vec_id + 1000000, list_transform(range(0, 72), lambda i: CASE WHEN i % 9 = 0 THEN greatest(0.0, CAST(grey[i + 1] AS DOUBLE) - 8) ELSE CAST(grey[i + 1] AS DOUBLE) END) FROM ({_GRID})"
 
 
 def _near(most: int) -> str:
-    return f"SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM ({_MASKED}) a JOIN ({_MASKED}) b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= {most}"
+    return f"SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM ({_HASHES}) a JOIN ({_HASHES}) b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= {most}"
 
 
+_STEPS = "SELECT user_id, event_id, ts, value, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _BARE = "regexp_replace(url, '[?#].*$', '')"
 _FOLDER = f"regexp_replace(lower(regexp_extract({_BARE}, '^(.*)/[^/]*$', 1)), '/+$', '')"
@@ -40,7 +44,7 @@ ORACLE_SQL = {
     "q_detection_ordinal": "SELECT user_id, min(event_id) AS first_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS ordinal FROM events GROUP BY user_id",
     "q_union_persist": "WITH t AS (SELECT user_id, event_type AS kind, value, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' OR event_type IN ('purchase', 'signup')) SELECT user_id, kind, max(value) AS value, min(event_id) AS position FROM t GROUP BY user_id, kind",
     "q_append_unseen": "WITH a AS (SELECT * FROM events WHERE event_id % 2 = 0), b AS (SELECT * FROM events e WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = e.user_id AND a.event_type = e.event_type)) SELECT user_id, count(*) AS kept FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY user_id",
-    "q_set_diff": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "q_set_diff": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "q_set_intersect": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "q_set_symdiff": "(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "q_links": "SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages))",
@@ -56,12 +60,17 @@ ORACLE_SQL = {
     "q_host_history": f"SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS last_touch FROM events WHERE {_LATE} GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-14 12:00:00' ORDER BY last_touch DESC, user_id LIMIT 200",
     "q_budget_evict": "SELECT * FROM (SELECT user_id, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS total_size, CAST(row_number() OVER w AS INTEGER) AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE total_size <= 1000 AND rank <= 20",
     "q_debounce": "WITH a AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), b AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bef FROM a WHERE nxt IS NULL OR nxt >= ts + INTERVAL 3600 SECOND) SELECT user_id, event_id, event_type FROM b WHERE bef IS NULL OR bef <> event_type",
-    "q_req_resp_join": "SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id FROM events v JOIN events c ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 3600 SECOND",
+    "q_req_resp_join": "SELECT user_id, view_id, event_id AS click_id FROM (SELECT *, lag(event_type) OVER w AS k, lag(ts) OVER w AS t, lag(event_id) OVER w AS view_id FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC)) WHERE event_type = 'click' AND k = 'view' AND ts <= t + INTERVAL 3600 SECOND",
+    "q_circuit_breaker": f"WITH RECURSIVE e AS ({_STEPS}), s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, 0 AS c, CAST(NULL AS TIMESTAMP) AS until, false AS blocked FROM events UNION ALL SELECT e.user_id, e.n, e.event_id, e.ts, CASE WHEN s.until > e.ts THEN s.c WHEN NOT e.failed THEN 0 WHEN s.until <= e.ts THEN 1 ELSE s.c + 1 END, CASE WHEN s.until > e.ts THEN s.until WHEN e.failed AND CASE WHEN s.until <= e.ts THEN 1 ELSE s.c + 1 END >= 2 THEN e.ts + INTERVAL 86400 SECOND END, coalesce(s.until > e.ts, false) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) SELECT user_id, event_id, ts, blocked FROM s WHERE n > 0",
+    "q_throttle": f"WITH RECURSIVE e AS ({_STEPS}), s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS TIMESTAMP) AS free, false AS keep FROM events UNION ALL SELECT e.user_id, e.n, e.event_id, e.ts, CASE WHEN e.ts < s.free THEN s.free ELSE e.ts + INTERVAL 10800 SECOND END, NOT coalesce(e.ts < s.free, false) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) SELECT user_id, event_id, ts, ts + INTERVAL 3600 SECOND AS fires_at FROM s WHERE keep",
+    "q_scroll_distance": f"WITH RECURSIVE e AS ({_STEPS}), s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS total, CAST(NULL AS TIMESTAMP) AS run, false AS keep FROM events UNION ALL SELECT user_id, n, event_id, ts, value, CASE WHEN fire THEN moved % 200 ELSE moved END, CASE WHEN fire THEN ts ELSE run END, fire FROM (SELECT *, moved >= 200 AND (run IS NULL OR ts >= run + INTERVAL 3600 SECOND) AS fire FROM (SELECT e.user_id, e.n, e.event_id, e.ts, e.value, s.run, s.total + coalesce(abs(e.value - s.y), 0) AS moved FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))) SELECT user_id, event_id, ts, total AS carried FROM s WHERE keep",
+    "q_elements": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:a|div|p|li)(?: [^>]*)?>')) AS t FROM pages) SELECT page_id, regexp_extract(t, '^<([a-z]+)', 1) AS tag, count(*) AS n, count(*) FILTER (contains(t, 'class=\"ad\"')) AS ads FROM t GROUP BY ALL",
+    "q_safe_names": "SELECT p_partkey, p_name || '.jpg' AS file_name, CASE WHEN n < 1048576 THEN CAST(CAST(floor(n / 1024 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' ELSE CAST(round(CAST(n / 1048576 AS DECIMAL(18, 9)), 1) AS DECIMAL(9, 1)) || ' MB' END AS shown_size, CAST(round(CAST(ms / 1000 AS DECIMAL(18, 9)), 1) AS DECIMAL(9, 1)) || ' s' AS shown_time FROM (SELECT p_partkey, p_name, p_retailprice * 1000 AS n, p_retailprice * 10 AS ms FROM part)",
     "q_valid_fact": "WITH c AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2), f AS (SELECT user_id, ts AS fact_at, max(value) AS fact FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT c.user_id, c.event_id, CASE WHEN f.fact_at >= c.ts - INTERVAL 1 DAY THEN f.fact END AS fact FROM c ASOF LEFT JOIN f ON c.user_id = f.user_id AND c.ts >= f.fact_at",
-    "q_dhash": f"SELECT vec_id, {_BITS} AS dhash FROM ({_GRID})",
+    "q_dhash": f"SELECT vec_id, h AS dhash FROM ({_HASH})",
     "q_dhash_bands": _near(4),
-    "q_ssim_pairs": f"WITH p AS ({_near(2)}), g AS (SELECT vec_id, list_transform(grey, lambda x: CAST(x AS DOUBLE)) AS g FROM ({_GRID})), u AS (SELECT id_a, id_b, unnest(a.g) AS x, unnest(b.g) AS y FROM p JOIN g a ON a.vec_id = id_a JOIN g b ON b.vec_id = id_b) SELECT id_a, id_b, round((2 * avg(x) * avg(y) + 6.5025) * (2 * covar_pop(x, y) + 58.5225) / ((avg(x) * avg(x) + avg(y) * avg(y) + 6.5025) * (var_pop(x) + var_pop(y) + 58.5225)), 6) AS score FROM u GROUP BY id_a, id_b",
-    "q_dup_components": f"WITH RECURSIVE p AS ({_near(2)}), e AS (SELECT id_a AS x, id_b AS y FROM p UNION SELECT id_b, id_a FROM p), r AS (SELECT x AS node, x AS reach FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x) SELECT node, min(reach) AS component FROM r GROUP BY node",
+    "q_ssim_pairs": f"WITH p AS ({_near(2)}), g AS ({_SHOWN}), u AS (SELECT id_a, id_b, unnest(a.g) AS x, unnest(b.g) AS y FROM p JOIN g a ON a.vec_id = id_a JOIN g b ON b.vec_id = id_b) SELECT id_a, id_b, round((2 * avg(x) * avg(y) + 6.5025) * (2 * covar_pop(x, y) + 58.5225) / ((avg(x) * avg(x) + avg(y) * avg(y) + 6.5025) * (var_pop(x) + var_pop(y) + 58.5225)), 6) AS score FROM u GROUP BY id_a, id_b",
+    "q_dup_components": f"WITH RECURSIVE p AS ({_near(2)}), q AS (SELECT id_a, id_b FROM p UNION ALL SELECT vec_id, vec_id + 3 FROM embeddings WHERE vec_id % 6 = 0), e AS (SELECT id_a AS x, id_b AS y FROM q UNION SELECT id_b, id_a FROM q), r AS (SELECT x AS node, x AS reach FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x) SELECT node, min(reach) AS component FROM r GROUP BY node",
     "q_full_outer_status": "SELECT coalesce(c.c_custkey, o.key) AS key, coalesce(o.files, 0) AS files, CASE WHEN c.c_custkey IS NOT NULL AND o.files IS NOT NULL THEN 'completed' WHEN c.c_custkey IS NOT NULL THEN 'available' ELSE 'offline' END AS status FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c FULL OUTER JOIN (SELECT o_custkey AS key, count(*) AS files FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.key",
     "q_props_json": "SELECT event_id, greatest(0, least(50, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 10))) AS k FROM events",
     "q_text_hash": "WITH t AS (SELECT p_partkey, p_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part) SELECT p_partkey, h AS h32, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS signed32, sha1(p_name) AS prefix_sha1 FROM t",

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagelens.functions import urls
 
@@ -62,17 +60,23 @@ def css_image_urls(css: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-@F.pandas_udf(T.StringType())
-def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
-    """The link as an absolute URL; null if it can't be one."""
-
-    def join(b, x):
-        try:
-            return urljoin(b, x.strip()) if isinstance(b, str) and isinstance(x, str) else None
-        except ValueError:
-            return None
-
-    return pd.Series([join(b, x) for b, x in zip(base, link, strict=True)])
+def resolved(base: Column, link: Column) -> Column:
+    """The link as an absolute URL by the usual rules; null if the base has no host and the link isn't absolute."""
+    link = F.trim(link)
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    kept = F.when(link.rlike(r"^[/?#]") | (link == ""), F.lit("")).otherwise(F.regexp_extract(urls.path(base), r"^(.*/)[^/]*$", 1))
+    path = F.regexp_extract(link, r"^([^?#]*)", 1)
+    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    own = F.concat(F.when(kept != "", kept).otherwise(F.when(path.startswith("/"), F.lit("")).otherwise(F.lit("/"))), path)
+    # a dot is its own folder; two take away the one before
+    last = F.element_at(F.split(own, "/"), -1)
+    steps = F.aggregate(F.split(own, "/"), F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    joined = F.concat(F.array_join(steps, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    here = F.regexp_replace(base, F.when(link.startswith("?"), F.lit(r"[?#].*$")).otherwise(F.lit(r"#.*$")), F.lit(""))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(urls.scheme(link), F.regexp_replace(link, r"^[A-Za-z0-9+.-]+", ""))).when(site == "", F.lit(None).cast("string")).when(link.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), link))
+        .when((link == "") | link.rlike(r"^[?#]"), F.concat(here, link)).otherwise(F.concat(site, joined, tail))
+    )
 
 
 class _Tags(HTMLParser):
@@ -109,7 +113,7 @@ def image_items(pages: DataFrame, min_width: int = 0, min_height: int = 0) -> Da
     best = ranked(srcset(F.coalesce(F.col("attrs")["srcset"], F.col("attrs")["data-srcset"])))
     raw = F.coalesce(F.nullif(F.col("attrs")["src"], F.lit("")), F.nullif(F.col("attrs")["data-src"], F.lit("")), F.try_element_at(best, F.lit(1))["url"])
     items = el.select("page_id", "pos", "tag", urls.attribute(raw).alias("raw_url"), F.col("url").alias("page_url"), width.alias("width"), height.alias("height"), best.alias("candidates"))
-    items = items.where("raw_url is not null").withColumn("item_url", F.when(urls.kind(F.col("raw_url")) == "img", resolved("page_url", "raw_url")).otherwise(F.col("raw_url")))
+    items = items.where("raw_url is not null").withColumn("item_url", F.when(urls.kind(F.col("raw_url")) == "img", resolved(F.col("page_url"), F.col("raw_url"))).otherwise(F.col("raw_url")))
     items = items.where(~urls.is_video(F.col("item_url")) & (F.col("width") >= min_width) & (F.col("height") >= min_height))
     return items.withColumn("kind", urls.kind(F.col("item_url"))).withColumn("filename", urls.file_name(F.col("item_url")))
 
@@ -142,11 +146,11 @@ def chapter_links(pages: DataFrame) -> DataFrame:
 
 
 def keyword_list(lines: DataFrame) -> DataFrame:
-    """Keywords of 2 to 50 characters from markdown lines (n, value): in code fences, table cells and plain lines; not headings."""
+    """Keywords of 2 to 50 characters from markdown lines (file, n, value): in code fences, table cells and plain lines; not headings."""
     from pyspark.sql.window import Window
 
     fence = F.trim("value").startswith("```")
-    inside = F.sum(F.when(fence, 1).otherwise(0)).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
+    inside = F.sum(F.when(fence, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
     words = lines.select("n", "value", fence.alias("fence"), inside.alias("inside")).where("not fence and (inside or not trim(value) rlike '^#')").select(F.explode(F.split("value", r"[|,\n]")).alias("w"))
     key = F.lower(F.trim(F.regexp_replace("w", r"^[\s>*-]+|`", "")))
     return words.select(key.alias("keyword")).where("length(keyword) between 2 and 50 and not keyword rlike '^[:-]+$'").distinct()

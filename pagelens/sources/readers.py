@@ -69,6 +69,49 @@ def page_list(documents: DataFrame, column: str, array_path: str, names: tuple[s
     return items.select("id", "pos", F.coalesce(*(F.nullif(F.col("item")[n], F.lit("")) for n in names)).alias("url")).where("url is not null")
 
 
+def until_empty(rows: DataFrame, source: str, page: str) -> DataFrame:
+    """Rows of a list read page by page from 0, as far as the first page without rows."""
+    pages = rows.groupBy(source, page).agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(Window.partitionBy(source).orderBy(page)) - 1)
+    return rows.join(pages.where(F.col("n") == F.col(page)).select(source, page), [source, page], "left_semi")
+
+
+def json_records(documents: DataFrame, column: str, path: str, fields: str) -> DataFrame:
+    """(id, pos and the fields) of an array of records that a JSON or GraphQL answer holds at the path."""
+    items = documents.select("id", F.posexplode(F.from_json(F.get_json_object(column, path), f"array<struct<{fields}>>")).alias("pos", "item"))
+    return items.select("id", "pos", "item.*")
+
+
+def pattern_records(documents: DataFrame, column: str, pattern: str) -> DataFrame:
+    """(id, pos, value) of the pattern's first group, for every match."""
+    return documents.select("id", F.posexplode(F.regexp_extract_all(column, F.lit(pattern), 1)).alias("pos", "value"))
+
+
+def sqlite_rows(spark: SparkSession, path: str, table: str, columns: tuple[str, ...]) -> DataFrame:
+    """The columns, as text, of a table in SQLite files at a path that Spark can read, a file for each task."""
+
+    def run(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        names = ", ".join('"' + c.replace('"', '""') + '"' for c in columns)
+        quoted = '"' + table.replace('"', '""') + '"'
+        for batch in batches:
+            for content in batch["content"]:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                rows = con.execute(f"SELECT {names} FROM {quoted}").fetchall()  # noqa: S608  names are quoted
+                yield pd.DataFrame([[None if v is None else str(v) for v in r] for r in rows], columns=list(columns), dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def imported(favorites: DataFrame, ids: DataFrame) -> DataFrame:
+    """Favorites (module, title, link, read) of another program under this one's ids (module, connector); those without one go."""
+    return favorites.join(ids, "module").select("connector", "title", "link", "read")
+
+
 def folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(folder, name, content, length) of the files below a path that Spark can read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -87,13 +130,29 @@ def with_prefix(store: DataFrame, prefix: str) -> DataFrame:
     return store.where(F.col("key").startswith(prefix))
 
 
+def removed(store: DataFrame, keys: list[str]) -> DataFrame:
+    return store.where(~F.col("key").isin(*keys))
+
+
+def by_index(store: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of a keyed table by another column's values, as a secondary index gives them."""
+    return store.join(wanted.select(column).distinct(), column, "left_semi").select(*store.columns)
+
+
 class Modules:
     """Site modules by id: a pattern of URLs they take, and functions of DataFrames."""
 
+    METHODS = ("list_chapters", "list_pages")
+
     def __init__(self):
         self._all: dict[str, tuple[str, dict[str, Callable]]] = {}
 
     def register(self, ident: str, url_pattern: str, **methods: Callable[[DataFrame], DataFrame]) -> None:
+        """A module under a new id; all have the methods of METHODS and may have more."""
+        if missing := [m for m in self.METHODS if not callable(methods.get(m))]:
+            raise TypeError(f"module {ident} lacks {', '.join(missing)}")
+        if not ident or ident in self._all:
+            raise ValueError(f"module id {ident!r} is empty or taken")
         re.compile(url_pattern)
         self._all[ident] = (url_pattern, methods)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,18 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagelens.operators.groups import folder
+
 
 def progress_batches(items: DataFrame, key: list[str], at: str, late: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark: what a receiver adds of overlapping batches."""
     return items.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+def replayed(rows: DataFrame, every: str | None = None):
+    """A stream's rows as a table in the cluster's folder: all that there are now, or with `every` (as "1500 milliseconds") the running query that adds them at that pace."""
+    spark = rows.sparkSession
+    place = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows")
+    if every:
+        return writer.trigger(processingTime=every).start()
+    done = writer.trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/rows")
+
+
 def request_pairs(requests: DataFrame, responses: DataFrame, key: str = "request_id", within: str = "60 seconds") -> DataFrame:
-    """Requests joined with their responses within the time; pending ones expire with the watermark."""
+    """Requests joined with their responses within the time, a key once while the watermark remembers it; pending ones expire with the watermark."""
     a = requests.withWatermark("ts", within).alias("a")
     b = responses.withWatermark("ts", within).alias("b")
     on = F.expr(f"a.{key} = b.{key} AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {within}")
-    return a.join(b, on).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("response_ts"))
+    return a.join(b, on).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("response_ts")).dropDuplicatesWithinWatermark([key])
 
 
 def without_stopped(batches: DataFrame, stops: DataFrame, memory: str = "10 minutes") -> DataFrame:

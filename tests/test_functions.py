@@ -104,3 +104,39 @@ def test_rotation_hashes(spark):
     a, b = (r[0] for r in values(spark, rows, "p binary, w int, h int", imaging.rotation_hashes("p", "w", "h")))
     assert a[1] == b[0] and a[2] == b[1] and len(set(a)) == 4
     assert imaging.resized(np.array([[0, 10], [20, 30]]), 4, 2).tolist() == [[0, 5, 10, 10], [20, 25, 30, 30]]
+
+
+def test_orientation_and_upright_pixels():
+    import numpy as np
+
+    def jpeg(value, little):
+        o = "little" if little else "big"
+        tiff = (b"II*\0" if little else b"MM\0*") + (8).to_bytes(4, o) + (1).to_bytes(2, o) + (0x0112).to_bytes(2, o) + (3).to_bytes(2, o) + (1).to_bytes(4, o) + value.to_bytes(2, o) + b"\0\0"
+        body = b"Exif\0\0" + tiff
+        return b"\xff\xd8\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda\0\0\0\0"
+
+    assert [imaging.exif_orientation(jpeg(v, k)) for v in range(1, 9) for k in (True, False)] == [v for v in range(1, 9) for _ in range(2)]
+    assert [imaging.exif_orientation(x) for x in (jpeg(9, True), b"", b"\x89PNG", jpeg(6, True)[:20], b"\xff\xd8\xff\xe1\xff\xff")] == [1] * 5
+    a = np.arange(6).reshape(2, 3, 1)
+    shown = {o: imaging.upright(a, o)[..., 0].tolist() for o in range(1, 9)}
+    assert shown[1] == [[0, 1, 2], [3, 4, 5]] and shown[2] == [[2, 1, 0], [5, 4, 3]] and shown[3] == [[5, 4, 3], [2, 1, 0]] and shown[4] == [[3, 4, 5], [0, 1, 2]]
+    assert shown[6] == [[3, 0], [4, 1], [5, 2]] and shown[8] == [[2, 5], [1, 4], [0, 3]] and shown[5] == [[0, 3], [1, 4], [2, 5]] and shown[7] == [[5, 2], [4, 1], [3, 0]]
+
+
+def test_pixel_hash_is_of_the_upright_image(spark):
+    import numpy as np
+
+    a = np.random.default_rng(1).integers(0, 256, (4, 6, 4)).astype(np.uint8)
+    rows = [(1, a.tobytes(), 6, 4, 1), (2, np.rot90(a, 1).tobytes(), 4, 6, 6), (3, a[:, ::-1].tobytes(), 6, 4, 2), (4, a.tobytes(), 6, 4, 3), (5, None, 6, 4, 1)]
+    df = spark.createDataFrame(rows, "id int, rgba binary, w int, h int, o int")
+    got = {r.id: r.x for r in df.select("id", imaging.pixel_hash("rgba", "w", "h", "o").alias("x")).collect()}
+    assert got[1] == got[2] == got[3] != got[4] and got[5] is None
+
+
+def test_digests(spark):
+    import hashlib
+
+    df = spark.createDataFrame([({"b": "2", "a": "1"},), ({"a": "1", "b": "2"},)], "m map<string,string>")
+    pairs = ",".join(f"{hashlib.sha256(k.encode()).hexdigest()}_{hashlib.sha512(v.encode()).hexdigest()}" for k, v in (("a", "1"), ("b", "2")))
+    want = hashlib.sha512((hashlib.sha256(pairs.encode()).hexdigest() + "s").encode()).hexdigest()
+    assert [r.d for r in df.select(text.parameter_digest(F.col("m"), "s").alias("d")).collect()] == [want] * 2

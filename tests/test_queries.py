@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pagelens.plans import catalog
+from pagelens.plans import catalog, more
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
@@ -26,19 +26,22 @@ def normal(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v for v in r) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+ALL, ORACLES = catalog.QUERIES | more.QUERIES, catalog.ORACLE_SQL | more.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, con, name):
-    df = catalog.QUERIES[name](spark, DATA)
+    df = ALL[name](spark, DATA)
     cols = sorted(df.columns)
     got = normal(tuple(r[c] for c in cols) for r in df.collect())
-    if name not in catalog.ORACLE_SQL:
+    if name not in ORACLES:
         assert got
         return
-    q = con.execute(catalog.ORACLE_SQL[name])
+    q = con.execute(ORACLES[name])
     names = [c[0] for c in q.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
-    assert got == normal(tuple(r[i] for i in at) for r in q.fetchall())
+    assert got == normal(tuple(r[i] for i in at) for r in q.fetchall()) and got
 
 
 def test_imports_without_the_corpus_operators(tmp_path):

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelens.sources import archives, markup, readers
@@ -50,7 +51,7 @@ def test_backgrounds_and_links(spark):
 
 def test_keyword_list(spark):
     lines = ["# Title", "plain, two words", "```", "# fenced", "```", "| cell | x |", "|---|---|"]
-    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    df = spark.createDataFrame([(0, *x) for x in enumerate(lines)], "file int, n int, value string")
     assert sorted(r.keyword for r in markup.keyword_list(df).collect()) == ["# fenced", "cell", "plain", "two words"]
 
 
@@ -85,8 +86,36 @@ def test_feeds_lists_and_tables(spark):
 
 def test_modules(spark):
     m = readers.Modules()
-    m.register("org", r"\.org/", pages=lambda df: df.limit(1))
-    m.register("any", "^https?:", pages=lambda df: df)
+    m.register("org", r"\.org/", list_chapters=lambda df: df, list_pages=lambda df: df.limit(1))
+    m.register("any", "^https?:", list_chapters=lambda df: df, list_pages=lambda df: df)
+    with pytest.raises(TypeError):
+        m.register("half", "x", list_pages=lambda df: df)
+    with pytest.raises(ValueError):
+        m.register("org", "x", list_chapters=lambda df: df, list_pages=lambda df: df)
     df = spark.createDataFrame([("http://a.org/",), ("http://b/",), ("x",)], "url string")
     assert [r.module for r in m.detect(df).collect()] == ["org", "any", None]
-    assert m.call("org", "pages", df).count() == 1
+    assert m.call("org", "list_pages", df).count() == 1
+
+
+def test_sqlite_rows(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "f.db")
+    con.execute('create table favorites (module text, title text, link text, "read" integer)')
+    con.executemany("insert into favorites values (?, ?, ?, ?)", [("m1", "T", "/t", 3), ("m2", None, "/u", None)])
+    con.commit()
+    con.close()
+    rows = readers.sqlite_rows(spark, str(tmp_path / "f.db"), "favorites", ("module", "title", "link", "read"))
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == [("m1", "T", "/t", "3"), ("m2", None, "/u", None)]
+    ids = spark.createDataFrame([("m1", "one")], "module string, connector string")
+    assert [tuple(r) for r in readers.imported(rows, ids).collect()] == [("one", "T", "/t", "3")]
+
+
+def test_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = ["https://h.org/a/b/c?q=1#f", "http://h", "https://h.org/a/"]
+    links = ["x", "./x", "../x", "../../../x", "/r/s", "//o.org/p", "?z=2", "#g", "", "mailto:a@b", "x/../y?../z", ".", "..", "a/./b/", "/a/../b"]
+    df = spark.createDataFrame([(b, x) for b in base for x in links], "b string, x string")
+    got = {(r.b, r.x): r.u for r in df.select("b", "x", markup.resolved(F.col("b"), F.col("x")).alias("u")).collect()}
+    assert got == {(b, x): urljoin(b, x) if x else b.split("#")[0] for b in base for x in links}
