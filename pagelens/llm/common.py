@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import hashlib
+import math
 import tempfile
 import uuid
 import weakref
@@ -136,6 +137,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def chance_of(n: int, at_least: int, rate: float) -> float:
+    """The chance of so many of n if each is drawn by the rate."""
+    if rate <= 0 or rate >= 1:
+        return 1.0
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate) for i in range(at_least, n + 1)]
+    top = max(logs)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     h = h ^ (h >> _U(30))

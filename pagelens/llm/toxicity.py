@@ -29,7 +29,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -174,15 +173,6 @@ def rising(value: np.ndarray, toxic: np.ndarray, weight: np.ndarray, base: float
     return at / n, np.maximum.accumulate((pos + mean * base) / (n + mean))
 
 
-def chance_of(n: int, at_least: int, rate: float) -> float:
-    """The chance of so many of n if each is drawn by the rate."""
-    if rate <= 0 or rate >= 1:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate) for i in range(at_least, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-
-
 def leaders(sketches: list[list[int]], toxic: list[int]) -> list[int]:
     """The examples that are no copies of an earlier one with the same label."""
     out, by = [], defaultdict(list)
@@ -238,7 +228,7 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int) -> Index |
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     terms_tried, some = tried.count(), tried.where(a * (n - pos) >= MIN_LIFT * b * pos).toArrow()
     h, having, toxic_having = (some.column(k).to_numpy() for k in ("h", "n", "toxic"))
-    sure = np.array([chance_of(x, y, pos / n) * terms_tried <= CHANCE for x, y in zip(having.tolist(), toxic_having.tolist(), strict=True)], dtype=bool)
+    sure = np.array([C.chance_of(x, y, pos / n) * terms_tried <= CHANCE for x, y in zip(having.tolist(), toxic_having.tolist(), strict=True)], dtype=bool)
     h, having = h[sure].view(np.uint64), having[sure]
     order = np.argsort(h)
     vocabulary, idf = h[order], np.log(1 + n / having[order])

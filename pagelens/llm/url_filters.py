@@ -5,16 +5,21 @@ URL's path starts with the rule's path; the longest fitting rule wins.
 
 URLs that no listed rule fits are judged by mined rules. A URL's tokens are its
 scheme, host labels and suffixes, path segments (digits as #) and query names.
-FP-growth finds token combinations that occur with the label "block" in a share
-of at least `min_support` of the labelled URLs, and in MIN_COUNT of them; a combination is a rule if its
-confidence and its lift are high enough. Rules lie in an inverted index under
-their rarest token: a URL's tokens look up the rules there, and a rule matches
-if the URL has all its tokens. The most confident match gives the verdict; with
-none it is "allow".
+FP-growth finds token combinations that occur with a label, "block" or "allow",
+in a share of at least `min_support` of the labelled URLs. A combination is a
+rule if its confidence is high enough and significant: were labels drawn by
+their rate, the chance of so many of that label among the URLs with it, times
+the number of combinations tried, is at most CHANCE. No rule is left out beyond
+that. Rules lie in an inverted index under their rarest token: a URL's tokens
+look up the rules there, and a rule matches if the URL has all its tokens. The
+most confident match gives the verdict (of equal ones "block", then the last by
+tokens); with none it is "allow".
 
 A row of `labels` belongs to the page with that id, and asks to block if the
-text is toxic or of low quality. A null URL or one without `://` has an empty
-host and path. Equal rows are judged alike. With no labels, nothing is mined.
+text is toxic or of low quality; of several rows one is enough. A null URL or
+one without `://` has an empty host and path. A very long URL is one
+transaction with all its tokens. Equal rows are judged alike, rows of one
+page_id each by its URL. With no labels or an empty table, nothing is mined.
 Other columns are ignored.
 """
 
@@ -34,9 +39,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT, MOST_RULES, MOST_TOKENS = 0.002, 20, 0.6, 1.5, 2000, 16
+MIN_SUPPORT, MIN_CONFIDENCE, CHANCE = 0.02, 0.6, 0.01
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLOCK = "label=block"
+_BLOCK, _ALLOW = "label=block", "label=allow"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -66,26 +71,29 @@ def tokens(url: Column) -> Column:
         F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.concat(F.lit("path="), F.regexp_replace(s, "[0-9]+", "#"))),
         F.transform(F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"([^&=]+)(?:=[^&]*)?"), 1), lambda s: F.concat(F.lit("query="), s)),
     )
-    # a URL is one transaction; longer ones keep their first tokens in the mining sample only
     return F.coalesce(F.array_distinct(kinds), F.array().cast("array<string>"))
 
 
 def mined(pages: DataFrame, labels: DataFrame, min_support: float) -> DataFrame:
-    """Rules (tokens, pivot, confidence) for "block", at most MOST_RULES."""
+    """Rules (tokens, verdict, confidence, pivot); a share of support bounds their number at any size of the tables."""
     block = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("block"))
-    items = F.slice(F.col("tokens"), 1, MOST_TOKENS)
-    marked = pages.select("page_id", "tokens").join(block, "page_id").select(F.when(F.col("block") == 1, F.concat(items, F.array(F.lit(_BLOCK)))).otherwise(items).alias("items"))
-    marked = C.checkpointed(marked)
-    total = marked.count()
-    schema = "tokens array<string>, confidence double, pivot string"
+    label = F.when(F.col("block") == 1, _BLOCK).otherwise(_ALLOW)
+    marked = C.checkpointed(pages.select("page_id", "tokens").join(block, "page_id").select(F.concat("tokens", F.array(label)).alias("items")))
+    spark, schema = pages.sparkSession, "tokens array<string>, verdict string, confidence double, pivot string"
+    total, blocked = marked.agg(F.count("*"), F.count_if(F.array_contains("items", _BLOCK))).first()
     if not total:
-        return pages.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / total)), minConfidence=MIN_CONFIDENCE).fit(marked)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where((F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= MIN_LIFT)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(MOST_RULES)
-    rare = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("pivot"))
-    return C.checkpointed(rare)
+        return spark.createDataFrame([], schema)
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=MIN_CONFIDENCE).fit(marked)
+    single = {r["items"][0]: r["freq"] for r in model.freqItemsets.where(F.size("items") == 1).collect()}
+    tried = model.freqItemsets.where(~F.array_contains("items", _BLOCK) & ~F.array_contains("items", _ALLOW)).count()
+    found = model.associationRules.where(F.col("consequent")[0].isin(_BLOCK, _ALLOW) & (F.col("lift") > 1))
+    rules = []
+    for r in found.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support").collect():
+        both = round(r["support"] * total)
+        rate = (blocked if r["label"] == _BLOCK else total - blocked) / total
+        if C.chance_of(round(both / r["confidence"]), both, rate) * tried <= CHANCE:
+            rules.append((sorted(r["antecedent"]), r["label"].removeprefix("label="), r["confidence"], min(r["antecedent"], key=lambda t: (single[t], t))))
+    return spark.createDataFrame(rules, schema)
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT) -> DataFrame:
@@ -95,10 +103,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float
     df = pages.select(F.col("page_id"), "url", host.alias("host"), path.alias("path")).withColumn("rule", name).withColumn("listed", verdict).withColumn("tokens", tokens(F.col("url")))
     found = mined(df, labels, min_support)
     urls = df.where("rule is null and url is not null").select("url", "tokens").distinct()
-    hits = urls.select("url", "tokens", F.explode("tokens").alias("pivot")).join(F.broadcast(found.withColumnRenamed("tokens", "needs")), "pivot").where(F.size(F.array_except("needs", "tokens")) == 0)
-    best = hits.groupBy("url").agg(F.max(F.struct("confidence", "needs")).alias("best")).select("url", F.col("best.needs").alias("mined_tokens"))
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("pivot")).join(found.withColumnRenamed("tokens", "needs"), "pivot").where(F.size(F.array_except("needs", "tokens")) == 0)
+    best = hits.groupBy("url").agg(F.max(F.struct("confidence", "verdict", "needs")).alias("best")).select("url", F.col("best.verdict").alias("mined"), F.col("best.needs").alias("mined_tokens"))
     out = df.join(best, "url", "left")
-    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("listed")).when(F.col("mined_tokens").isNotNull(), "block").otherwise("allow").alias("verdict"), "mined_tokens")
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("listed")).otherwise(F.coalesce("mined", F.lit("allow"))).alias("verdict"), "mined_tokens")
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from texts import prose
 
+from pagelens.llm import common as C
 from pagelens.llm import toxicity
 
 
@@ -115,4 +116,4 @@ def test_rising_curve_and_chance():
     value, toxic = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1])
     x, y = toxicity.rising(value, toxic, np.ones(4), 0.5)
     assert np.allclose(x, [0.1, 0.25, 0.4]) and np.allclose(y, [0.25, 0.5, 0.75])
-    assert np.isclose(toxicity.chance_of(10, 8, 0.5), 56 / 1024) and toxicity.chance_of(5, 1, 0.0) == 1.0
+    assert np.isclose(C.chance_of(10, 8, 0.5), 56 / 1024) and C.chance_of(5, 1, 0.0) == 1.0
