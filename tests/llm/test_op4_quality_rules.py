@@ -40,10 +40,37 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert not any(got[i].kept for i, *_ in junk)
 
 
-def test_small_groups_are_pooled_then_kept(spark):
-    rows = [(i, prose(i, 50), "fr", f"s{i}") for i in range(60)] + [(100, "$$$ " * 3 + prose(1, 40), "de", "x")]
+def test_small_groups_get_their_languages_then_the_corpus_estimate(spark):
+    rows = [(i, prose(i, 50), "fr", f"s{i}") for i in range(60)] + [(100, prose(1, 40), "de", "x"), (101, " ".join(w + "%%%%####$$$$" for w in prose(2, 40).split()), "de", "y")]
     got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[0].d2 is not None and got[100].d2 is None and got[100].kept
+    assert all(r.d2 is not None for r in got.values()) and all(got[i].kept for i, *_ in rows[:-1]) and not got[101].kept
+    few = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows[55:], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.d2 is not None for r in few.values())
+
+
+def steps(x, mean, cov, h):
+    """Concentration steps by numpy until nothing changes."""
+    floor = np.diag(np.array(quality_rules.FLOOR) ** 2)
+    for _ in range(50):
+        d = x - mean
+        near = x[np.argsort((d @ np.linalg.inv(cov + floor) * d).sum(axis=1))[:h]]
+        new = near.mean(axis=0), np.cov(near.T, bias=True)
+        if np.allclose(new[0], mean):
+            break
+        mean, cov = new
+    return np.linalg.det(cov + floor), mean
+
+
+def test_least_determinant_against_many_random_starts(spark):
+    rng = np.random.default_rng(3)
+    good = rng.normal(size=(300, 5)) * [1, 0.3, 1, 1, 1] + [5, 1, 1, 1, 1]
+    x = np.vstack([good, rng.normal(size=(80, 5)) * 0.2 + [9, 3, 7, 7, 7]])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{z} double" for z in quality_rules.Z))
+    best = min((steps(x, x[(i := rng.choice(len(x), 12, replace=False))].mean(axis=0), np.cov(x[i].T), int(0.75 * len(x))) for _ in range(60)), key=lambda r: r[0])
+    m = quality_rules.estimates(df).first()
+    mean = np.array([m[f"m{i}"] for i in range(5)])
+    assert np.abs(best[1] - good.mean(axis=0)).max() < 0.3  # the search itself finds the bulk
+    assert np.abs(mean - best[1]).max() < 0.3 and np.abs(mean - good.mean(axis=0)).max() < 0.2
 
 
 def test_distance_is_mahalanobis(spark):
