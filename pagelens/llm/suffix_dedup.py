@@ -51,6 +51,8 @@ from pagelens.llm import common as C
 KMER = 32
 #: Bytes of pieces that are sorted at once, and the most bytes of distinct pieces in a group.
 SORT_BYTES, GROUP_BYTES = 100_000, 500_000
+#: So many hashes of hot anchors (8 bytes each) are broadcast.
+MOST_BROADCAST = 200_000
 _ROW = ("id", "th")  # a row's name: doc_id (0 for null), and a hash of both doc_id and text
 
 
@@ -315,8 +317,10 @@ def grouped(placed: DataFrame, length: int, group_bytes: int) -> tuple[DataFrame
     for _ in range((length - KMER).bit_length() + 1):
         size = placed.groupBy("h", "ph").agg(F.max(F.length("piece")).alias("b")).groupBy("h").agg(F.sum("b").alias("b"))
         hot = C.checkpointed(size.where(F.col("b") > group_bytes).select("h"))
-        if not hot.limit(1).count():
+        if not (n := hot.limit(MOST_BROADCAST + 1).count()):
             break
+        # a few hashes are sent to the pieces; the pieces would be shuffled to more
+        hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
         out.append(placed.join(hot, "h", "left_anti"))
         parts = C.arrow_map(placed.join(hot, "h", "left_semi").select(*columns), _split(length), "h long, id long, th long, start int, at short, left short, right short, piece binary")
         placed = C.stored(parts.withColumn("ph", F.xxhash64("piece")))
