@@ -99,3 +99,30 @@ def test_powers():
     out = packing.at_powers([(0, 5, 100), (1, 0, 51)])
     assert [sum(n for _, _, n in s) for s in out] == [128, 16, 4, 2, 1]
     assert sum(n for s in out for i, _, n in s if i == 1) == 51
+
+
+def test_the_dot_product_decides_the_packing():
+    """With the same tokens but other loss-bearing ones the packing is another; against filling sequences with the largest item that fits it needs about as many."""
+
+    def largest_first(sizes, capacity):
+        left, n = [tuple(x) for x in sorted(sizes.tolist(), reverse=True)], 0
+        while left:
+            room, rest = capacity.copy(), []
+            for x in left:
+                if all(a <= b for a, b in zip(x, room)):
+                    room = room - x
+                else:
+                    rest.append(x)
+            left, n = rest, n + 1
+        return n
+
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        tokens = rng.integers(20, 600, 300)
+        sizes = np.stack([tokens, np.ones_like(tokens), (tokens * rng.random(300)).astype(int)], axis=1)
+        capacity = np.array([2048.0, 8, 700])
+        mine = packing.bins(sizes, capacity, cut=False)
+        assert len(mine) <= 1.05 * largest_first(sizes, capacity)
+        other = sizes.copy()
+        other[:, 2] = rng.permutation(tokens)[: len(tokens)] // 3
+        assert {frozenset(i for i, _, _ in q) for q in mine} != {frozenset(i for i, _, _ in q) for q in packing.bins(other, capacity, cut=False)}

@@ -72,3 +72,10 @@ def test_one_of_each(spark, odd):
     got = kept.collect()
     assert kept.columns == odd.columns and len({r.doc_id for r in got}) == len(got)
     assert {r.doc_id for r in got} == {r.component_id for r in ngram_join.link_components(odd).collect()}
+
+
+def test_columns_with_names_of_our_own(spark):
+    names = ["_gone", "_row", "gone_id", "row_number", "component_id"]
+    df = spark.createDataFrame([(1, prose(5, 30), *names), (2, prose(5, 30), *names), (3, prose(6, 30), *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3] and all(tuple(r[2:]) == tuple(names) for r in got.collect())
