@@ -16,7 +16,10 @@ a part of their own; they are counted first, from sums made before the shuffle,
 and scored where the texts are read, since there are at most 1 / HOT_SHARE.
 
 A null or empty text has no tokens and null scores. Rows that share a doc_id are
-scored together as one document, a null doc_id too. Other columns are ignored.
+scored together as one document, a null doc_id too; equal rows under several
+ids get equal scores. A very long text's n-grams are counted in one task. Words
+tied at the floor are all known. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations

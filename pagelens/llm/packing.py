@@ -13,11 +13,13 @@ through, so nothing is shuffled and memory is bounded by a block (BLOCK_ITEMS
 rows or BLOCK_BYTES of ids) and the longest text.
 
 Tokenizing keeps the exact ids of the tokenizer: its pre-tokenizer never joins
-characters across white space, so ids are kept per word; new words go to the
-tokenizer itself.
+characters across white space, so ids are kept per word under a 64-bit hash
+(exact up to collisions); new words go to the tokenizer itself.
 
 A null or empty text is the end id alone. Equal rows are packed each. A null
-doc_id is returned as it is. Other columns are ignored.
+doc_id is returned as it is. A very long text is held whole, cut into full
+sequences first. Of items with equal products the first in the block is taken.
+An empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
