@@ -1,25 +1,30 @@
 """Stupid-backoff language model scores, computed with count tables, joins and sums.
 
-The corpus scores itself: n-gram counts come from all documents. Words are
-lower-cased `[^\\x20\\x09-\\x0D]+`; words with less than MIN_SHARE of all tokens
-are the unknown word, so the vocabulary has at most 1 / MIN_SHARE entries at any
-size of the corpus. A document's start is a context of its own. The score of a
-word w after v is
-
-    c(v w) / c(v)               if v w occurs MIN_COUNT times or more,
-    BACKOFF * c(w) / N          else.
-
-The table of n-gram counts is summed in blocks and then by n-gram. The texts'
-n-gram rows (doc_id, v w, times) are dealt the same way, joined with the table,
-and the logarithms are summed by document. N-grams with HOT_SHARE of all tokens or more would each fill
-a part of their own; they are counted first, from sums made before the shuffle,
-and scored where the texts are read, since there are at most 1 / HOT_SHARE.
+The corpus scores itself: counts of all n-grams up to ORDER words come from all
+documents, by 64-bit hash, with no vocabulary and no floor that rises with the
+corpus. Words are lower-cased `[^\\x20\\x09-\\x0D]+`; a start before each text
+with words is the context of its first word. With c for counts and N for the
+number of words, the score of w after n - 1 others is
+
+    S(w | v1 .. vk) = c(v1 .. vk w) / c(v1 .. vk)      if v1 .. vk w occurs MIN_COUNT times or more,
+                      BACKOFF * S(w | v2 .. vk)        else,
+    S(w)            = c(w) / N.
+
+Texts are laid in blocks of about BLOCK_TOKENS words, one row each, written once.
+A block sends each distinct n-gram with its count, in ranges of the hash; a range
+sums the counts and answers each block with the totals in the order asked, so
+no key comes back. So an n-gram sends a row's entry per block, however often it
+occurs: a word with a third of all occurrences loads its range no more than one
+that each block has once. N-grams of three or more words are sent only where both
+shorter ones in them occur MIN_COUNT times, since they can't do so otherwise.
+Then blocks join their totals, and logarithms are summed by document. The number
+of ranges grows with the words, so that a range has about RANGE_KEYS entries.
 
 A null or empty text has no tokens and null scores. Rows that share a doc_id are
-scored together as one document, a null doc_id too; equal rows under several
-ids get equal scores. A very long text's n-grams are counted in one task. Words
-tied at the floor are all known. An empty table gives an empty result. Other
-columns are ignored.
+scored as texts of their own and summed as one document, a null doc_id too; equal
+rows under several ids get equal scores. A very long text is a block of its own,
+in one task. An n-gram that occurs exactly MIN_COUNT times is used. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,153 +34,215 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm import common as C
 
-MIN_SHARE, HOT_SHARE, MIN_COUNT, BACKOFF = 1e-5, 1e-4, 2, 0.4
-#: Tokens whose counts are summed before they are dealt out.
-BLOCK_TOKENS = 4_000_000
-#: A word number has so many bits; 0 is the unknown word, the last is a document's start.
-BITS = 18
-START = (1 << BITS) - 1
-
-
-def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = C.lowered(raw)
-    starts, ends, first = C.word_spans(low, off)
-    return C.word_hashes(low, starts, ends), first
+ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
+#: Words of a block, and n-grams that a range of hashes gets before equal ones of a block are one.
+BLOCK_TOKENS, RANGE_KEYS = 1_000_000, 2_000_000
+#: Stands before each text's first word.
+START = np.uint64(0x5374617274)
 
+_BLOCK = "block long, n_tokens long, ids array<long>, sizes array<long>, text binary"
+_ASKED = "range long, block long, step int, keys binary, counts binary"
+_TOTALS = "range long, block long, step int, totals binary"
 
-def _totals(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "c"])
 
+def _packed(a: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, so that the equal leading bytes of sorted or small ones compress."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _summed(docs: DataFrame, keys_of) -> DataFrame:
-    """Counts (key, c) of what keys_of(bytes, offsets) gives, summed in blocks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, raw, off in C.pieces(batches, 0):
-            held.append(keys_of(raw, off))
-            size += len(held[-1])
-            if size >= BLOCK_TOKENS:
-                yield _totals(held)
-                held, size = [], 0
-        if held:
-            yield _totals(held)
-
-    return C.arrow_map(docs.select("text"), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-class Vocabulary:
-    """Word hashes in order with their numbers; the most frequent words have the smallest numbers."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray):
-        rank = np.lexsort((h, -c)) if len(h) else np.zeros(0, np.int64)
-        number = np.empty(len(h), dtype=np.int64)
-        number[rank] = np.arange(1, len(h) + 1)
-        order = np.argsort(h)
-        self.h, self.number = h[order], number[order]
-        self.counts = np.concatenate([[0], c[rank]])
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Each hash's range of n, rising with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.number[at], 0)
 
-    def bigrams(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The n-gram that ends at each word, as one number, and each document's first."""
-        h, first = _words(raw, off)
-        w = self.numbers(h)
-        v = np.concatenate([[0], w[:-1]]) if len(w) else w
-        v[first[:-1][np.diff(first) > 0]] = START
-        return v << BITS | w, first
+def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
+    def row(seq: int, held: list, tokens: int) -> pa.RecordBatch:
+        ids = pa.concat_arrays([p.column(0) for p, _, _ in held])
+        sizes = np.concatenate([np.diff(off) for _, _, off in held])
+        text = pa.Codec("zstd", compression_level=1).compress(np.concatenate([raw for _, raw, _ in held]).tobytes(), asbytes=True)
+        block = TaskContext.get().partitionId() << 32 | seq
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(sizes, pa.int64()))]
+        return pa.record_batch([pa.array([block], pa.int64()), pa.array([tokens], pa.int64()), *lists, pa.array([text], pa.binary())], ["block", "n_tokens", "ids", "sizes", "text"])
 
-
-def scored(documents: DataFrame, min_share: float = MIN_SHARE, hot_share: float = HOT_SHARE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, seq = [], 0, 0
+        for part, raw, off in C.pieces(batches, 1):
+            low = C.lowered(raw)
+            held.append((part, low, off))
+            tokens += len(C.word_spans(low, off)[0])
+            if tokens >= block_tokens:
+                yield row(seq, held, tokens)
+                held, tokens, seq = [], 0, seq + 1
+        if held:
+            yield row(seq, held, tokens)
+
+    return C.arrow_map(docs, run, _BLOCK)
+
+
+class Block:
+    """A block's words with the starts between them, its n-grams and what is known of their counts."""
+
+    def __init__(self, ids: pa.Array, sizes: np.ndarray, text: bytes):
+        raw = np.frombuffer(pa.Codec("zstd").decompress(text, decompressed_size=int(sizes.sum()), asbytes=True), dtype=np.uint8) if len(text) and sizes.sum() else np.zeros(0, np.uint8)
+        off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        starts, ends, first = C.word_spans(raw, off)
+        some = np.diff(first) > 0
+        self.ids = ids
+        self.words = np.insert(C.word_hashes(raw, starts, ends), first[:-1][some], START)
+        self.first = first + np.concatenate([[0], np.cumsum(some)])
+        self.starts = self.first[:-1][some]
+        self.counts: dict[int, np.ndarray] = {}
+
+    def count(self, n: int) -> np.ndarray:
+        """Of the n-gram that ends at each word how often it occurs; 0 is not known to be frequent."""
+        return self.counts.get(n, np.zeros(len(self.words), dtype=np.int64))
+
+    def grams(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of n-grams and the word at which each ends, without those whose parts say that they are rare."""
+        h, at = C.windows(self.words, self.first, n)
+        end = at + n - 1
+        if n > 2:
+            shorter = self.count(n - 1)
+            both = (shorter[end] >= least) & (shorter[end - 1] >= least)
+            h, end = h[both], end[both]
+        return h, end
+
+    def asked(self, step: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of a step, and how often each occurs here; the first step has words and pairs."""
+        return np.unique(np.concatenate([self.grams(n, least)[0] for n in _orders(step)]), return_counts=True)
+
+    def learn(self, step: int, least: int, totals: np.ndarray) -> None:
+        """Takes the totals of asked(step), in its order."""
+        grams = {n: self.grams(n, least) for n in _orders(step)}
+        keys = np.unique(np.concatenate([h for h, _ in grams.values()]))
+        if len(keys) != len(totals):
+            raise RuntimeError("totals of a block are missing")
+        for n, (h, end) in grams.items():
+            self.counts[n] = np.zeros(len(self.words), dtype=np.int64)
+            self.counts[n][end] = totals[np.searchsorted(keys, h)] if len(keys) else 0
+
+    def sums(self, order: int, least: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's number of words and the sum of their logarithms."""
+        size, n_words = len(self.words), np.diff(self.first)
+        value = np.log(np.maximum(self.count(1), 1)) - math.log(max(1, tokens))
+        place = np.arange(size) - np.repeat(self.first[:-1], n_words)
+        for n in range(2, order + 1):
+            exists = place >= n - 1
+            here, before = self.count(n), self.count(n - 1)
+            seen = np.flatnonzero(exists & (here >= least))
+            value[exists] += math.log(BACKOFF)
+            value[seen] = np.log(here[seen]) - np.log(before[seen - 1])
+        value[self.starts] = 0
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        return n_words - (n_words > 0), np.bincount(doc, weights=value, minlength=len(n_words))
+
+
+def _orders(step: int) -> tuple[int, ...]:
+    return (1, 2) if step == 2 else (step,)
+
+
+def _loaded(left: pa.Table | pa.RecordBatch, i: int = 0) -> Block:
+    return Block(left.column("ids")[i].values, left.column("sizes")[i].values.to_numpy(zero_copy_only=False), left.column("text")[i].as_py())
+
+
+def _known(left: pa.Table, right: pa.Table, least: int) -> Block:
+    """A block with the totals that ranges have answered."""
+    block = _loaded(left)
+    steps: dict[int, list] = {}
+    for r, step, totals in zip(right.column("range").to_pylist(), right.column("step").to_pylist(), right.column("totals").to_pylist()):
+        steps.setdefault(step, []).append((r, totals))
+    last = max(steps, default=1)
+    for step in range(2, last + 1):
+        block.learn(step, least, np.concatenate([_unpacked(t) for _, t in sorted(steps.get(step, []))] or [np.zeros(0, np.uint64)]).astype(np.int64))
+    return block
+
+
+def _question(block: Block, number: int, step: int, least: int, ranges: int) -> pa.Table:
+    keys, counts = block.asked(step, least)
+    r = _ranges(keys, ranges)
+    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+    to = np.append(cut[1:], len(r))
+    return pa.table(
+        [pa.array(r[cut].astype(np.int64)), pa.array(np.full(len(cut), number), pa.int64()), pa.array(np.full(len(cut), step), pa.int32()), pa.array([_packed(keys[a:b]) for a, b in zip(cut, to)], pa.binary()), pa.array([_packed(counts[a:b]) for a, b in zip(cut, to)], pa.binary())],
+        ["range", "block", "step", "keys", "counts"],
+    )
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """The sums of a range's counts over all blocks, for each block in the order of its question."""
+    keys = [_unpacked(k.as_py()) for k in asked.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])
+    keys = np.concatenate(keys)
+    counts = np.concatenate([_unpacked(c.as_py()) for c in asked.column("counts")])
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    sums = np.add.reduceat(counts[order], np.flatnonzero(new))
+    totals = np.empty(len(keys), dtype=np.uint64)
+    totals[order] = sums[np.cumsum(new) - 1]
+    packed = pa.array([_packed(t) for t in np.split(totals, ends[:-1])], pa.binary())
+    return pa.table([asked.column("range"), asked.column("block"), asked.column("step"), packed], ["range", "block", "step", "totals"])
+
+
+def scored(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural logarithm) and perplexity of each document of `documents` (doc_id, text)."""
+    if order < 2 or min_count < 1:
+        raise ValueError("order is 2 at least, min_count 1")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens, starts = _sizes(docs)
-    top = _summed(docs, lambda raw, off: _words(raw, off)[0]).where(F.col("c") >= max(MIN_COUNT, min_share * tokens)).toArrow()
-    if top.num_rows >= START:
-        raise ValueError("too many words for their numbers; min_share is too small")
-    vocabulary = Vocabulary(top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy())
-    counts = vocabulary.counts.astype(np.float64)
-    counts[0] = tokens - counts.sum()
-    spark = docs.sparkSession
-    frequent = int((counts[1:] >= hot_share * tokens).sum())  # their numbers are 1 to this
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    def may_be_hot(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        key, _ = sent.value.bigrams(raw, off)
-        v, w = key >> BITS, key & START
-        return key[((v <= frequent) | (v == START)) & (w <= frequent)]
-
-    hot = _summed(docs, may_be_hot).where(F.col("c") >= max(MIN_COUNT, hot_share * tokens)).toArrow().sort_by("key")
-    hot_key, hot_count = hot.column("key").to_numpy(), hot.column("c").to_numpy().astype(np.float64)
-    logs = np.log(np.maximum(counts, 1))
-    after = np.log(hot_count) - np.where(hot_key >> BITS == START, math.log(max(1, starts)), logs[np.minimum(hot_key >> BITS, len(logs) - 1)]) if len(hot_key) else np.zeros(0)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, off in C.pieces(batches, 1):
-            key, first = sent.value.bigrams(raw, off)
-            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            key, doc, times = key[at], doc[at], np.diff(np.append(at, len(key)))
-            if len(hot_key):
-                k = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
-                is_hot = hot_key[k] == key
-            else:
-                k, is_hot = np.zeros(len(key), np.int64), np.zeros(len(key), dtype=bool)
-            known = np.bincount(doc[is_hot], weights=(times * after[k])[is_hot] if len(hot_key) else None, minlength=part.num_rows)
-            known_n = np.bincount(doc[is_hot], weights=times[is_hot], minlength=part.num_rows).astype(np.int32)
-            rest = ~is_hot
-            # what a document's hot n-grams give, under no n-gram's number; then its other n-grams
-            n = part.num_rows
-            yield pa.record_batch(
-                [part.column(0).take(pa.array(np.concatenate([np.arange(n), doc[rest]]))), pa.array(np.concatenate([-1 - np.arange(n), key[rest]])), pa.array(np.concatenate([known_n, times[rest].astype(np.int32)])), pa.array(np.concatenate([known, np.zeros(int(rest.sum()))]), mask=np.concatenate([np.zeros(n, dtype=bool), np.ones(int(rest.sum()), dtype=bool)]))],
-                ["doc_id", "key", "times", "known"],
-            )
-
-    def not_hot(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        key, _ = sent.value.bigrams(raw, off)
-        return key[hot_key[np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)] != key] if len(hot_key) else key
-
-    rows = C.arrow_map(docs, explode, "doc_id long, key long, times int, known double")
-    table = _summed(docs, not_hot).where(F.col("c") >= MIN_COUNT)
-    number = pa.table({"id": np.arange(len(counts)), "log_c": logs})
-    entry = spark.createDataFrame(number)
-    context = F.broadcast(entry.select(F.col("id").alias("v"), F.col("log_c").alias("log_v")).union(spark.createDataFrame([(START, math.log(max(1, starts)))], "v long, log_v double")))
-    word = F.broadcast(entry.select(F.col("id").alias("w"), F.col("log_c").alias("log_w")))
-    joined = rows.join(table, "key", "left").withColumn("v", F.shiftrightunsigned("key", BITS)).withColumn("w", F.col("key").bitwiseAND(F.lit(START))).join(context, "v", "left").join(word, "w", "left")
-    seen = F.log("c") - F.col("log_v")
-    back = F.col("log_w") + F.lit(math.log(BACKOFF) - math.log(max(1, tokens)))
-    value = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(F.col("times") * F.when(F.col("c").isNotNull(), seen).otherwise(back))
-    sums = joined.select("doc_id", "times", value.alias("value")).groupBy("doc_id").agg(F.sum("times").alias("n_tokens"), F.sum("value").alias("total"))
+    blocks = C.stored(_blocks(docs, block_tokens))
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+
+    def first_questions(ranges: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from _question(_loaded(batch, i), batch.column("block")[i].as_py(), 2, min_count, ranges).to_batches()
+
+        return C.arrow_map(blocks, run, _ASKED)
+
+    def joined(answers: DataFrame, f, schema: str) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = f(left.column("block")[0].as_py(), _known(left, right, min_count))
+            C.trim()
+            return out
+
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+    stored = []
+    for step in range(2, order + 1):
+        ranges = max(1, math.ceil(tokens * len(_orders(step)) / range_keys))
+        if step == 2:
+            asked = first_questions(ranges)
+        else:
+            asked = joined(_all(stored), lambda number, block, step=step, ranges=ranges: _question(block, number, step, min_count, ranges), _ASKED)
+        stored.append(C.stored(asked.groupBy("range").applyInArrow(_answer, _TOTALS)))
+
+    def sums(number: int, block: Block) -> pa.Table:
+        n_tokens, total = block.sums(order, min_count, tokens)
+        return pa.table([block.ids, pa.array(n_tokens, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "total"])
+
+    by_text = C.stored(joined(_all(stored), sums, "doc_id long, n_tokens long, total double"))
+    C.forget(blocks, *stored)
+    by_doc = by_text.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("total").alias("total"))
     some = F.col("n_tokens") > 0
-    return sums.select("doc_id", "n_tokens", F.when(some, F.round("total", 4)).alias("log_prob"), F.when(some, F.round(F.exp(-F.col("total") / F.col("n_tokens")), 3)).alias("perplexity"))
-
+    return by_doc.select("doc_id", "n_tokens", F.when(some, F.round("total", 4)).alias("log_prob"), F.when(some, F.round(F.exp(-F.col("total") / F.col("n_tokens")), 3)).alias("perplexity"))
 
-def _sizes(docs: DataFrame) -> tuple[int, int]:
-    """Words of all texts, and texts with words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = some = 0
-        for _, raw, off in C.pieces(batches, 0):
-            starts, _, first = C.word_spans(raw, off)
-            total, some = total + len(starts), some + int((np.diff(first) > 0).sum())
-        yield pa.record_batch([pa.array([total], pa.int64()), pa.array([some], pa.int64())], ["n", "texts"])
-
-    row = C.arrow_map(docs.select("text"), run, "n long, texts long").agg(F.sum("n"), F.sum("texts")).first()
-    return row[0] or 0, row[1] or 0
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -41,12 +41,11 @@ SELECT g.doc_id, len(g.g) AS n_shingles, c.component_id FROM g JOIN (SELECT node
 WITH d AS ({_WORDS}),
 t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
 n AS (SELECT count(*) AS n FROM t),
-k AS (SELECT w FROM t GROUP BY w HAVING count(*) >= greatest(2, 1e-5 * (SELECT n FROM n))),
-u AS (SELECT t.doc_id, t.i, coalesce(k.w, '') AS w FROM t LEFT JOIN k ON t.w = k.w),
-b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS v FROM u),
-c AS (SELECT w, count(*) AS c FROM u GROUP BY w UNION ALL SELECT ' ', count(*) FROM u WHERE i = 1),
-bc AS (SELECT v, w, count(*) AS c FROM b GROUP BY v, w),
-x AS (SELECT b.doc_id, count(*) AS n_tokens, sum(CASE WHEN bc.c >= 2 THEN ln(bc.c) - ln(cv.c) ELSE ln(0.4) + ln(cw.c) - ln((SELECT n FROM n)) END) AS total FROM b JOIN bc ON b.v = bc.v AND b.w = bc.w JOIN c cv ON b.v = cv.w JOIN c cw ON b.w = cw.w GROUP BY b.doc_id)
+b AS (SELECT doc_id, i, w, coalesce(lag(w) OVER p, ' ') AS v, CASE WHEN i > 1 THEN coalesce(lag(w, 2) OVER p, ' ') END AS u FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w UNION ALL SELECT ' ', count(*) FROM t WHERE i = 1),
+c2 AS (SELECT v, w, count(*) AS c FROM b GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM b WHERE i > 1 GROUP BY u, v, w),
+x AS (SELECT b.doc_id, count(*) AS n_tokens, sum(CASE WHEN c3.c >= 2 THEN ln(c3.c) - ln(uv.c) WHEN c2.c >= 2 THEN ln(c2.c) - ln(cv.c) + CASE WHEN b.i > 1 THEN ln(0.4) ELSE 0 END ELSE ln(cw.c) - ln((SELECT n FROM n)) + CASE WHEN b.i > 1 THEN 2 ELSE 1 END * ln(0.4) END) AS total FROM b JOIN c2 ON b.v = c2.v AND b.w = c2.w JOIN c1 cv ON b.v = cv.w JOIN c1 cw ON b.w = cw.w LEFT JOIN c3 ON b.u = c3.u AND b.v = c3.v AND b.w = c3.w LEFT JOIN c2 uv ON b.u = uv.v AND b.v = uv.w GROUP BY b.doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(total, 4) AS log_prob, round(exp(-total / n_tokens), 3) AS perplexity FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 """,
 }
