@@ -60,6 +60,13 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def _new(keys: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, which differ from the one before."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return new
+
+
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
     """Each hash's range of n, rising with the hash."""
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
@@ -119,17 +126,23 @@ class Block:
 
     def asked(self, step: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams of a step, and how often each occurs here; the first step has words and pairs."""
-        return np.unique(np.concatenate([self.grams(n, least)[0] for n in _orders(step)]), return_counts=True)
+        keys = np.sort(np.concatenate([self.grams(n, least)[0] for n in _orders(step)]))
+        at = np.flatnonzero(_new(keys))
+        return keys[at], np.diff(np.append(at, len(keys)))
 
     def learn(self, step: int, least: int, totals: np.ndarray) -> None:
         """Takes the totals of asked(step), in its order."""
         grams = {n: self.grams(n, least) for n in _orders(step)}
-        keys = np.unique(np.concatenate([h for h, _ in grams.values()]))
-        if len(keys) != len(totals):
+        keys = np.concatenate([h for h, _ in grams.values()])
+        order = np.argsort(keys)
+        number = np.cumsum(_new(keys[order]))
+        if len(totals) != (number[-1] if len(number) else 0):
             raise RuntimeError("totals of a block are missing")
+        found = np.empty(len(keys), dtype=np.int64)
+        found[order] = totals[number - 1]
         for n, (h, end) in grams.items():
             self.counts[n] = np.zeros(len(self.words), dtype=np.int64)
-            self.counts[n][end] = totals[np.searchsorted(keys, h)] if len(keys) else 0
+            self.counts[n][end], found = found[: len(h)], found[len(h) :]
 
     def sums(self, order: int, least: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
         """Each text's number of words and the sum of their logarithms."""
@@ -184,9 +197,8 @@ def _answer(asked: pa.Table) -> pa.Table:
     ends = np.cumsum([len(k) for k in keys])
     keys = np.concatenate(keys)
     counts = np.concatenate([_unpacked(c.as_py()) for c in asked.column("counts")])
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
+    order = np.argsort(keys)
+    new = _new(keys[order])
     sums = np.add.reduceat(counts[order], np.flatnonzero(new))
     totals = np.empty(len(keys), dtype=np.uint64)
     totals[order] = sums[np.cumsum(new) - 1]
