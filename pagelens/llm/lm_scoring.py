@@ -42,7 +42,7 @@ from pagelens.llm import common as C
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Words of a block, and n-grams that a range of hashes gets before equal ones of a block are one.
-BLOCK_TOKENS, RANGE_KEYS = 1_000_000, 2_000_000
+BLOCK_TOKENS, RANGE_KEYS = 500_000, 2_000_000
 #: Stands before each text's first word.
 START = np.uint64(0x5374617274)
 
