@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,61 @@ def least_distance(a: Column, b: Column) -> Column:
     return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: distance(x, y)))))
 
 
+#: Pairs that are compared, or written, at once.
+_AT_ONCE = 1 << 18
+
+
+def near_nodes(part: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (id_a, id_b, distance) of nodes (unit, place, hashes, ids, contents) that have an equal band, the unit's, in the turns that `place` names.
+
+    A place of 4 or more is the unit's second block; without one all rows meet
+    each other. A pair of nodes meets in other units too: it is given where its
+    first turns within `most` have their first equal band.
+    """
+    place = part.column(1).to_numpy()
+    hashes = part.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, 4)
+    offsets, ids, contents = part.column(3).offsets.to_numpy(), part.column(3).values, part.column(4).values
+    values = ids.to_numpy()
+    first, size = values[offsets[:-1]], np.diff(offsets)
+    key = part.column(0)[0].as_py() >> 44
+    ends = 64 - np.cumsum(BANDS)
+    earlier = [np.uint64(((1 << n) - 1) << int(at)) for n, at in zip(BANDS, ends, strict=True)][: key >> max(BANDS)]
+    turn = place & 3
+    h = hashes[np.arange(len(turn)), turn]
+    two = part.column(0)[0].as_py() & ((1 << 22) - 1) != part.column(0)[0].as_py() >> 22 & ((1 << 22) - 1)
+    left, right = (np.flatnonzero((place >= 4) == side) if two else np.arange(len(h)) for side in (False, True))
+    step = max(1, _AT_ONCE // max(1, len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        others = right if two else right[at:]
+        a, b = np.nonzero(np.bitwise_count(h[rows][:, None] ^ h[others][None, :]) <= most)
+        if not two:
+            after = b > a
+            a, b = a[after], b[after]
+        a, b = rows[a], others[b]
+        differ = h[a] ^ h[b]
+        here = first[a] != first[b]  # a node's own turns
+        for mask in earlier:
+            here &= (differ & mask) != 0
+        a, b = a[here], b[here]
+        a, b = np.where(first[a] < first[b], a, b), np.where(first[a] < first[b], b, a)
+        far = np.bitwise_count(hashes[a][:, :, None] ^ hashes[b][:, None, :]).reshape(-1, 16)
+        here = np.argmax(far <= most, axis=1) == 4 * turn[a] + turn[b]
+        a, b, far = a[here], b[here], far[here].min(axis=1)
+        pairs = size[a].astype(np.int64) * size[b]
+        total = np.concatenate([[0], np.cumsum(pairs)])
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _AT_ONCE, side="right")) - 1)
+            of = np.repeat(np.arange(lo, hi), pairs[lo:hi])
+            k = np.arange(len(of)) - (total[of] - total[lo])
+            i, j = offsets[a[of]] + k // size[b[of]], offsets[b[of]] + k % size[b[of]]
+            equal = pc.fill_null(pc.equal(contents.take(pa.array(i)), contents.take(pa.array(j))), False).to_numpy(zero_copy_only=False)
+            x, y = values[i], values[j]
+            yield pa.record_batch([pa.array(np.minimum(x, y), ids.type), pa.array(np.maximum(x, y), ids.type), pa.array(np.where(equal, 0, far[of]).astype(np.int32))], ["id_a", "id_b", "distance"])
+            lo = hi
+
+
 def exif_orientation(content: bytes) -> int:
     """The orientation (1 to 8) that a JPEG's Exif header names; 1 without one."""
     try:
