@@ -37,7 +37,14 @@ def test_near_images_gives_all_pairs_of_copies(spark, monkeypatch, node, block):
     assert got.schema["id_a"].dataType == df.schema["id"].dataType and sorted(tuple(x) for x in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["q_near_images"])
+def test_equal_contents_with_far_hashes_are_no_pair(spark):
+    # they share a band of 13 bits, and no more
+    far = ((1 << 51) - 1) ^ (1 << 40)
+    df = spark.createDataFrame([(1, [0] * 4, 5), (2, [far] * 4, 5)], "id long, hashes array<long>, content long")
+    assert lookups.near_images(df).count() == 0
+
+
+@pytest.mark.parametrize("name", ["q_near_images", "q_hash_shortcut"])
 def test_copies_among_embeddings_give_the_sql_s_rows(spark, tmp_path, name):
     r = random.Random(3)
     base = [[r.gauss(0, 0.2) for _ in range(64)] for _ in range(5)]
