@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,25 +101,73 @@ def numbered_repeats(df: DataFrame, folder: str, name: str, order: list[Column])
     return df.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
 
 
+def _split(name: str) -> tuple[str, str]:
+    dot = name.rfind(".")
+    return (name[:dot], name[dot:]) if dot > 0 else (name, "")
+
+
+def _numbered(name: str, n: int) -> str:
+    stem, ext = _split(name)
+    return f"{stem} ({n}){ext}"
+
+
+_MADE = re.compile(r"(.*) \(([1-9][0-9]*)\)", re.DOTALL)
+
+
+class _Names:
+    """Names given so far, among names of one root: what it holds grows with the distinct names, not with the rows."""
+
+    def __init__(self) -> None:
+        self.own: set[str] = set()  # given as they are
+        self.next: dict[str, int] = {}  # all smaller numbers of a name are taken
+
+    def made(self, name: str) -> bool:
+        stem, ext = _split(name)
+        m = _MADE.fullmatch(stem)
+        if not m:
+            return False
+        base, n = m[1] + ext, int(m[2])
+        return n < self.next.get(base, 1) and _numbered(base, n) == name
+
+    def give(self, name: str) -> str:
+        if name not in self.next:
+            self.next[name] = 1
+            if not self.made(name):
+                self.own.add(name)
+                return name
+        n = self.next[name]
+        while (new := _numbered(name, n)) in self.own:
+            n += 1
+        self.next[name] = n + 1
+        return new
+
+
 def unique_names(df: DataFrame, folder: str, name: str, position: str) -> DataFrame:
-    """As numbered_repeats(), folder by folder in order, without names that collide; a folder's names fit in one task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position, kind="stable")
-        taken: set[str] = set()
-        out = []
-        for base in rows[name]:
-            dot = base.rfind(".")
-            stem, ext = (base[:dot], base[dot:]) if dot > 0 else (base, "")
-            new, n = base, 1
-            while new in taken:
-                new, n = f"{stem} ({n}){ext}", n + 1
-            taken.add(new)
-            out.append(new)
-        return rows.assign(unique_name=out)
+    """As numbered_repeats(), folder by folder in order, without names that collide; a null name stays null.
+
+    Only names that are equal without their numbers, such as (1), can collide.
+    Those of a folder pass through one task in order, in time that grows with
+    their number, and only distinct names are held.
+    """
+    root = "_root"
+    while root in df.columns:
+        root += "_"
+    keyed = df.withColumn(root, F.regexp_replace(name, r"(?s)(?: \([1-9][0-9]*\))+(?=(?:\.[^.]*)?\z)", ""))
+    dealt = keyed.repartition(folder, root).sortWithinPartitions(folder, root, F.asc_nulls_last(position))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names = None, _Names()
+        for batch in batches:
+            out = []
+            for f, r, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (folder, root, name)), strict=True):
+                if key != (f, r):
+                    key, names = (f, r), _Names()
+                out.append(None if x is None else names.give(x))
+            columns = batch.schema.get_field_index(root)
+            yield pa.record_batch([*batch.columns[:columns], pa.array(out, pa.string())], [*batch.schema.names[:columns], "unique_name"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(folder).applyInPandas(run, f"{fields}, unique_name string")
+    return dealt.mapInArrow(run, f"{fields}, unique_name string")
 
 
 def collapse_runs(df: DataFrame, group: list[str], order: list[Column], same: list[str], at: str) -> DataFrame:
