@@ -17,8 +17,9 @@ from pagelens.operators import groups
 OVERLAY_SUFFIXES = ("-overlay", "-wrapper", "-mask", "-cover", "-scrim", "-dimmer", "-veil", "-curtain", "-shield", "-guard", "-blocker", "-backdrop", "-pane", "-layer", "-modal", "-popup", "-banner", "-shade")
 OVERLAY_PREFIXES = ("overlay-", "modal-", "popup-", "paywall-", "cookie-", "consent-", "backdrop-", "mask-", "cover-", "shield-", "blocker-", "cdk-overlay")
 
-#: Ids with equal hashes that are compared as one, and ids of which the pairs are one task's work, at most.
+#: Ids with equal hashes or metadata that are compared as one, and ids of which the pairs are one task's work, at most.
 NODE, BLOCK = 1_000, 16_384
+METADATA = ("intrinsic_width", "intrinsic_height", "byte_length", "rendered_width", "rendered_height")
 
 
 def by_host(rows: DataFrame, host: Column, entries: DataFrame, first_only: bool = True) -> DataFrame:
@@ -171,6 +172,28 @@ def passes_metadata(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return agree("intrinsic_width", 0) & agree("intrinsic_height", 0) & agree("byte_length", 0) & agree("rendered_width", 1) & agree("rendered_height", 1)
 
 
+def metadata_pairs(images: DataFrame, group: str) -> DataFrame:
+    """Pairs (id_a, id_b) of a group's images that pass passes_metadata(), id_a < id_b; images have id, group and the names in METADATA, ids are unique.
+
+    Images with equal metadata are nodes of up to NODE ids. Nodes meet by their
+    rendered width, and only the pairs of nodes that pass are spread out into
+    ids, so the work grows with the pairs returned and not with a group's square.
+    """
+    cell = images.groupBy(F.col(group).alias("cell"), F.struct(*METADATA).alias("of")).agg(F.sort_array(F.collect_list("id")).alias("every")).where("cell is not null")
+    nodes = cell.select("cell", "of", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / NODE).cast("int")), lambda i: F.slice("every", i * NODE + 1, NODE))).alias("ids"))
+    width = F.floor("of.rendered_width")
+    a, b = (nodes.select("cell", F.col("of").alias(f"of_{s}"), F.col("ids").alias(f"ids_{s}"), width.alias(f"width_{s}")) for s in "ab")
+    near = a.join(b.where("width_b is not null").withColumn("width_a", F.explode(F.array(*(F.col("width_b") + i for i in (-1, 0, 1))))), ["cell", "width_a"])
+    missing = a.join(b, "cell").where("width_a is null or width_b is null")
+    met = near.select("of_a", "ids_a", "of_b", "ids_b").unionByName(missing.select("of_a", "ids_a", "of_b", "ids_b"))
+    met = met.where((F.col("ids_a")[0] <= F.col("ids_b")[0]) & passes_metadata(*({n: F.col(f"of_{s}.{n}") for n in METADATA} for s in "ab"))).select("ids_a", "ids_b")
+    # a number of its own, as Spark would join the small inputs of large outputs into few tasks
+    dealt = met.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = F.col("ids_a")[0] == F.col("ids_b")[0]
+    every = dealt.select(one.alias("one"), "ids_b", F.explode("ids_a").alias("a")).select("one", "a", F.explode("ids_b").alias("b")).where("not one or a < b")
+    return every.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
 def pair_key(a: Column, b: Column) -> Column:
     return F.array_join(F.array_sort(F.array(a.cast("string"), b.cast("string"))), "|")
 

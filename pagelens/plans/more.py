@@ -397,11 +397,10 @@ WITH p AS (SELECT p_partkey AS id, p_brand AS b, CASE WHEN p_partkey % 4 > 0 THE
 SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.b = b.b AND a.id < b.id WHERE coalesce(a.w = b.w, true) AND coalesce(a.n = b.n, true) AND abs(a.r - b.r) <= 1
 """)
 def q_metadata_prefilter(spark, d):
-    k = F.col("p_partkey")
-    p = _t(spark, d, "part").select("p_brand", k.alias("id"), F.when(k % 4 > 0, F.col("p_size") % 3).alias("w"), F.when(k % 5 > 0, F.col("p_size") % 2).alias("n"), F.col("p_size").alias("r"))
-    a, b = (p.select("p_brand", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "w", "n", "r"))) for s in "ab")
-    sides = [{"intrinsic_width": F.col(f"w_{s}"), "intrinsic_height": F.col(f"w_{s}"), "byte_length": F.col(f"n_{s}"), "rendered_width": F.col(f"r_{s}"), "rendered_height": F.col(f"r_{s}")} for s in "ab"]
-    return a.join(b, "p_brand").where((F.col("id_a") < F.col("id_b")) & lookups.passes_metadata(*sides)).select("id_a", "id_b")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    w, n = F.when(k % 4 > 0, size % 3), F.when(k % 5 > 0, size % 2)
+    p = _t(spark, d, "part").where("p_size is not null").select("p_brand", k.alias("id"), *(x.alias(name) for name, x in zip(lookups.METADATA, (w, w, n, size, size), strict=True)))
+    return lookups.metadata_pairs(p, "p_brand")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_partkey LIMIT 1")

@@ -56,3 +56,21 @@ def test_copies_among_embeddings_give_the_sql_s_rows(spark, tmp_path, name):
     got = more.QUERIES[name](spark, str(tmp_path))
     want = c.execute(f"select id_a, id_b, distance from ({more.ORACLE_SQL[name]})").fetchall()
     assert sorted(tuple(x) for x in got.select("id_a", "id_b", "distance").collect()) == sorted(want) and len(want) > 75
+
+
+def test_metadata_pairs_with_missing_sides(spark):
+    r = random.Random(4)
+    images = [(i, r.choice("xy"), *(r.choice((None, 1, 2)) for _ in range(3)), r.choice((None, 1.0, 1.5, 2.5, 9.0)), r.choice((None, 3, 4, 5))) for i in range(90)]
+    df = spark.createDataFrame(images, "id long, g string, " + ", ".join(f"{n} {'double' if n == 'rendered_width' else 'int'}" for n in lookups.METADATA))
+    far = (0, 0, 0, 1, 1)
+    want = [(a[0], b[0]) for a, b in itertools.combinations(images, 2) if a[1] == b[1] and all(x is None or y is None or abs(x - y) <= w for x, y, w in zip(a[2:], b[2:], far, strict=True))]
+    assert sorted(tuple(x) for x in lookups.metadata_pairs(df, "g").collect()) == want and want
+
+
+def test_prefilter_leaves_out_null_sizes_as_its_sql_does(spark, tmp_path):
+    t = pa.table({"p_partkey": pa.array(range(40), pa.int64()), "p_brand": ["b"] * 40, "p_size": pa.array([None if i % 7 == 3 else i % 5 for i in range(40)], pa.int32())})
+    pq.write_table(t, tmp_path / "part.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = c.execute(more.ORACLE_SQL["q_metadata_prefilter"]).fetchall()
+    assert sorted(tuple(x) for x in more.QUERIES["q_metadata_prefilter"](spark, str(tmp_path)).collect()) == sorted(want) and want
