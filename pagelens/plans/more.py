@@ -441,7 +441,7 @@ h AS (SELECT id, turn, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744
 
 
 def _images(spark, d):
-    grid = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.get("embedding", i % 64).cast("double") * 64 + 128))))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.get("embedding", i % 64).cast("double") * 64 + 128))).cast("smallint"))
     groups.folder(spark)
     own = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), grid.alias("grid")).checkpoint()  # stored columns, as images' grids are
     shown = F.when(F.col("id") % 2 == 0, imaging.turned(F.col("grid"), 9)).otherwise(imaging.turned(F.col("grid"), 9, 2))
