@@ -79,55 +79,63 @@ def least_distance(a: Column, b: Column) -> Column:
 _AT_ONCE = 1 << 18
 
 
-def near_nodes(part: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (id_a, id_b, distance) of nodes (unit, place, hashes, ids, contents) that have an equal band, the unit's, in the turns that `place` names.
+def _nodes(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of nodes (hashes, ids, contents): all hashes, where each node's begin, where its ids begin, all ids and contents."""
+    hashes, ids, contents = block.flatten()
+    at = hashes.offsets.to_numpy()
+    start = ids.offsets.to_numpy()
+    return hashes.flatten().to_numpy().view(np.uint64), at - at[0], start - start[0], ids.flatten(), contents.flatten()
 
-    A place of 4 or more is the unit's second block; without one all rows meet
-    each other. A pair of nodes meets in other units too: it is given where its
-    first turns within `most` have their first equal band.
+
+def near_nodes(left: pa.StructArray, right: pa.StructArray | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (id_a, id_b, distance) between two blocks of nodes (hashes, ids, contents), or in one if right is None; nodes have any number of hashes.
+
+    Hashes meet by each of their bands, a run of the left nodes at a time, so a
+    pair of nodes is complete within a run: its least distance is known there.
     """
-    place = part.column(1).to_numpy()
-    hashes = part.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, 4)
-    offsets, ids, contents = part.column(3).offsets.to_numpy(), part.column(3).values, part.column(4).values
-    values = ids.to_numpy()
-    first, size = values[offsets[:-1]], np.diff(offsets)
-    key = part.column(0)[0].as_py() >> 44
-    ends = 64 - np.cumsum(BANDS)
-    earlier = [np.uint64(((1 << n) - 1) << int(at)) for n, at in zip(BANDS, ends, strict=True)][: key >> max(BANDS)]
-    turn = place & 3
-    h = hashes[np.arange(len(turn)), turn]
-    two = part.column(0)[0].as_py() & ((1 << 22) - 1) != part.column(0)[0].as_py() >> 22 & ((1 << 22) - 1)
-    left, right = (np.flatnonzero((place >= 4) == side) if two else np.arange(len(h)) for side in (False, True))
-    step = max(1, _AT_ONCE // max(1, len(right)))
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        others = right if two else right[at:]
-        a, b = np.nonzero(np.bitwise_count(h[rows][:, None] ^ h[others][None, :]) <= most)
-        if not two:
-            after = b > a
-            a, b = a[after], b[after]
-        a, b = rows[a], others[b]
-        differ = h[a] ^ h[b]
-        here = first[a] != first[b]  # a node's own turns
-        for mask in earlier:
-            here &= (differ & mask) != 0
-        a, b = a[here], b[here]
-        a, b = np.where(first[a] < first[b], a, b), np.where(first[a] < first[b], b, a)
-        far = np.bitwise_count(hashes[a][:, :, None] ^ hashes[b][:, None, :]).reshape(-1, 16)
-        here = np.argmax(far <= most, axis=1) == 4 * turn[a] + turn[b]
-        a, b, far = a[here], b[here], far[here].min(axis=1)
-        pairs = size[a].astype(np.int64) * size[b]
+    h_a, at_a, start_a, ids_a, contents_a = _nodes(left)
+    h_b, at_b, start_b, ids_b, contents_b = (h_a, at_a, start_a, ids_a, contents_a) if right is None else _nodes(right)
+    owner_b, n_b = np.repeat(np.arange(len(at_b) - 1), np.diff(at_b)), len(at_b) - 1
+    values_a, values_b, size_a, size_b = ids_a.to_numpy(), ids_b.to_numpy(), np.diff(start_a), np.diff(start_b)
+    met, earlier = [], []
+    for n, end in zip(BANDS, 64 - np.cumsum(BANDS), strict=True):
+        key_a, key_b = ((h >> np.uint64(end) & np.uint64((1 << n) - 1)).astype(np.int64) for h in (h_a, h_b))
+        order, number = np.argsort(key_b, kind="stable"), np.bincount(key_b, minlength=1 << n)
+        met.append(((np.cumsum(number) - number)[key_a], number[key_a], owner_b[order], h_b[order], list(earlier)))
+        earlier.append(np.uint64(((1 << n) - 1) << int(end)))
+    work = np.concatenate([[0], np.cumsum(sum(number for _, number, *_ in met))])[at_a]
+    lo = 0
+    while lo < len(at_a) - 1:
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + _AT_ONCE, side="right")) - 1)
+        run = slice(at_a[lo], at_a[hi])
+        h, owner, found = h_a[run], np.repeat(np.arange(lo, hi), np.diff(at_a[lo : hi + 1])), []
+        for first, number, owners, there, others in met:
+            n = number[run]
+            i = np.repeat(np.arange(len(h)), n)
+            j = np.arange(len(i)) + np.repeat(first[run] - (np.cumsum(n) - n), n)
+            differ = h[i] ^ there[j]
+            near = np.flatnonzero(np.bitwise_count(differ) <= most)
+            for mask in others:
+                near = near[(differ[near] & mask) != 0]
+            a, b = owner[i[near]], owners[j[near]]
+            code = (a * n_b + b) * 128 + np.bitwise_count(differ[near])
+            found.append(code[a < b] if right is None else code)
+        code = np.sort(np.concatenate(found))
+        code = code[np.diff(code >> 7, prepend=-1) != 0]
+        (a, b), far = np.divmod(code >> 7, n_b), code & 127
+        pairs = size_a[a].astype(np.int64) * size_b[b]
         total = np.concatenate([[0], np.cumsum(pairs)])
-        lo = 0
-        while lo < len(a):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _AT_ONCE, side="right")) - 1)
-            of = np.repeat(np.arange(lo, hi), pairs[lo:hi])
-            k = np.arange(len(of)) - (total[of] - total[lo])
-            i, j = offsets[a[of]] + k // size[b[of]], offsets[b[of]] + k % size[b[of]]
-            equal = pc.fill_null(pc.equal(contents.take(pa.array(i)), contents.take(pa.array(j))), False).to_numpy(zero_copy_only=False)
-            x, y = values[i], values[j]
-            yield pa.record_batch([pa.array(np.minimum(x, y), ids.type), pa.array(np.maximum(x, y), ids.type), pa.array(np.where(equal, 0, far[of]).astype(np.int32))], ["id_a", "id_b", "distance"])
-            lo = hi
+        of_lo = 0
+        while of_lo < len(a):
+            of_hi = max(of_lo + 1, int(np.searchsorted(total, total[of_lo] + _AT_ONCE, side="right")) - 1)
+            of = np.repeat(np.arange(of_lo, of_hi), pairs[of_lo:of_hi])
+            k = np.arange(len(of)) - (total[of] - total[of_lo])
+            i, j = start_a[a[of]] + k // size_b[b[of]], start_b[b[of]] + k % size_b[b[of]]
+            equal = pc.fill_null(pc.equal(contents_a.take(pa.array(i)), contents_b.take(pa.array(j))), False).to_numpy(zero_copy_only=False)
+            x, y = values_a[i], values_b[j]
+            yield pa.record_batch([pa.array(np.minimum(x, y), ids_a.type), pa.array(np.maximum(x, y), ids_a.type), pa.array(np.where(equal, 0, far[of]).astype(np.int32))], ["id_a", "id_b", "distance"])
+            of_lo = of_hi
+        lo = hi
 
 
 def exif_orientation(content: bytes) -> int:

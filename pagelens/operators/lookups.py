@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +15,8 @@ from pagelens.operators import groups
 OVERLAY_SUFFIXES = ("-overlay", "-wrapper", "-mask", "-cover", "-scrim", "-dimmer", "-veil", "-curtain", "-shield", "-guard", "-blocker", "-backdrop", "-pane", "-layer", "-modal", "-popup", "-banner", "-shade")
 OVERLAY_PREFIXES = ("overlay-", "modal-", "popup-", "paywall-", "cookie-", "consent-", "backdrop-", "mask-", "cover-", "shield-", "blocker-", "cdk-overlay")
 
-#: Ids with equal hashes or metadata that are compared as one, and ids of which the pairs are one task's work, at most.
-NODE, BLOCK = 1_000, 16_384
+#: Ids with equal hashes or metadata that are compared as one, at most, and ids of which a block is held, about.
+NODE, BLOCK = 1_000, 32_768
 METADATA = ("intrinsic_width", "intrinsic_height", "byte_length", "rendered_width", "rendered_height")
 
 
@@ -78,64 +76,37 @@ def near_hashes(left: DataFrame, right: DataFrame, most: int = imaging.MAX_DISTA
 def near_images(images: DataFrame, most: int = imaging.MAX_DISTANCE) -> DataFrame:
     """All pairs (id_a, id_b, distance) of images (id, hashes of their four turns, content) within the distance in any turns, id_a < id_b; ids are unique.
 
-    Ids with equal hashes are nodes of up to NODE ids, so copies are compared
-    once. Nodes meet in units by an equal band of any of their turns, where numpy
-    compares them in place: only pairs within the distance leave a task, each
-    from the first turns that are that near and their first equal band, so no
-    candidate is shuffled and none needs a dropDuplicates. Units of more than
-    BLOCK ids are split into pairs of blocks. Equal contents within the distance
-    have distance 0.
+    Ids with the same hashes are nodes of up to NODE ids, so copies are compared
+    once. Nodes are stored in blocks of about BLOCK ids, and each pair of blocks
+    is one row of a product, which reads the stored blocks: neither hashes by
+    band nor candidates are shuffled, so disk is the nodes' own size, some times
+    over. In a row numpy compares the hashes with an equal band, and only pairs
+    within the distance leave it. Equal contents within the distance have
+    distance 0.
     """
     spark = images.sparkSession
     groups.folder(spark)
-    every = images.groupBy("hashes").agg(F.collect_list(F.struct("id", "content")).alias("every"))
+    one = images.select("id", F.array_sort(F.array_distinct("hashes")).alias("hashes"), "content")
+    every = one.groupBy("hashes").agg(F.collect_list(F.struct("id", "content")).alias("every"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / NODE).cast("int")), lambda i: F.slice("every", i * NODE + 1, NODE))
     nodes = every.select("hashes", F.explode(parts).alias("x")).select("hashes", F.col("x.id").alias("ids"), F.col("x.content").alias("contents")).checkpoint()
-    band = F.posexplode(F.transform(imaging.bands(F.col("h")), lambda x: x["value"])).alias("band", "value")
-    keys = nodes.select("*", F.posexplode("hashes").alias("turn", "h")).select("hashes", "ids", "contents", "turn", band).withColumn("key", F.col("band") * (1 << max(imaging.BANDS)) + F.col("value")).drop("band", "value")
-    # of the few keys that bands have
-    large = keys.groupBy("key").agg(F.ceil(F.sum(F.size("ids")) / BLOCK).alias("blocks")).where("blocks > 1")
-    own = keys.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    unit = F.shiftleft(F.col("key").cast("bigint"), 44).bitwiseOR(F.shiftleft(F.least("own", "other"), 22)).bitwiseOR(F.greatest("own", "other"))
-    met = met.select(unit.alias("unit"), (F.col("turn") + F.when(F.col("own") > F.col("other"), 4).otherwise(0)).cast("tinyint").alias("place"), "hashes", "ids", "contents")
-    # a number of its own, as Spark would join the small inputs of large outputs into few tasks
-    dealt = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit")
+    blocks = -(-(nodes.agg(F.sum(F.size("ids"))).first()[0] or 1) // BLOCK)
+    dealt = nodes.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+    held = dealt.groupBy("block").agg(F.collect_list(F.struct("hashes", "ids", "contents")).alias("nodes")).checkpoint()
+    a, b = (held.select(F.col("block").alias(f"block_{s}"), F.col("nodes").alias(f"nodes_{s}")) for s in "ab")
+    met = a.join(b.hint("shuffle_replicate_nl"), F.col("block_a") <= F.col("block_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _by_unit(batches):
-            yield from imaging.near_nodes(part, most)
+        for batch in batches:
+            for x, left, y, right in zip(*(batch.column(i) for i in range(4)), strict=True):
+                yield from imaging.near_nodes(left.values, None if x == y else right.values, most)
 
     kind = images.schema["id"].dataType.simpleString()
-    found = dealt.mapInArrow(run, f"id_a {kind}, id_b {kind}, distance int")
+    found = met.mapInArrow(run, f"id_a {kind}, id_b {kind}, distance int")
     twins = nodes.where(F.size("ids") > 1).select("ids", F.explode("ids").alias("id_a")).select("id_a", F.explode("ids").alias("id_b")).where("id_a < id_b")
     return found.unionByName(twins.withColumn("distance", F.lit(0)))
 
 
-def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each value of the first column, by which they are sorted; those with one row are left out."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        unit = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
-        if held and held[-1].column(0)[0].as_py() != unit[0]:
-            yield from _joined(held)
-            held = []
-        for lo, hi in pairwise(cuts):
-            if lo:
-                yield from _joined(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    yield from _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if sum(x.num_rows for x in held) > 1:
-        yield held[0] if len(held) == 1 else pa.concat_batches(held)
-
-
 def denied(rows: DataFrame, host: Column, patterns: DataFrame) -> DataFrame:
     """Rows whose host no pattern `*://*.domain/*` (column pattern) denies; patterns may repeat."""
     domains = patterns.select(F.regexp_extract("pattern", r"^\*://(?:\*\.)?([^/]+)/\*$", 1).alias("domain")).where("domain <> ''").distinct()

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pagelens.functions import imaging
 from pagelens.operators import lookups
 from pagelens.plans import more
 
@@ -44,6 +45,25 @@ def test_equal_contents_with_far_hashes_are_no_pair(spark):
     assert lookups.near_images(df).count() == 0
 
 
+def test_no_bands_or_candidates_are_shuffled(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, [r.getrandbits(63) for _ in range(4)], i) for i in range(40)], "id long, hashes array<long>, content long")
+    assert "Exchange" not in lookups.near_images(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_of_many_runs_meet_once(monkeypatch):
+    monkeypatch.setattr(imaging, "_AT_ONCE", 3)
+    r = random.Random(6)
+    nodes = [{"hashes": [r.choice((0, 1, 7, 1 << 40, (1 << 62) - 1)) ^ 1 << r.randrange(62) for _ in range(r.randrange(1, 6))], "ids": [3 * i, 3 * i + 1], "contents": [i, None]} for i in range(40)]
+    kind = pa.struct({"hashes": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "contents": pa.list_(pa.int64())})
+    far = {(a["ids"][0], b["ids"][0]): min((x ^ y).bit_count() for x in a["hashes"] for y in b["hashes"]) for a, b in itertools.combinations(nodes, 2)}
+    want = sorted((a + i, b + j, d) for (a, b), d in far.items() if d <= 4 for i in (0, 1) for j in (0, 1))
+    every, first, second = (pa.array(x, kind) for x in (nodes, nodes[:15], nodes[15:]))
+    blocks = ((every, None),), ((first, None), (first, second), (second, None))
+    for of in blocks:
+        assert sorted(tuple(x.values()) for a, b in of for batch in imaging.near_nodes(a, b, 4) for x in batch.to_pylist()) == want
+
+
 @pytest.mark.parametrize("name", ["q_near_images", "q_hash_shortcut"])
 def test_copies_among_embeddings_give_the_sql_s_rows(spark, tmp_path, name):
     r = random.Random(3)
