@@ -74,8 +74,11 @@ def near_hashes(left: DataFrame, right: DataFrame, most: int = imaging.MAX_DISTA
 
 
 def near_images(images: DataFrame, most: int = imaging.MAX_DISTANCE) -> DataFrame:
-    """All pairs (id_a, id_b, distance) of images (id, hashes of their four turns, content) within the distance in any turns, id_a < id_b; ids are unique.
+    """All pairs (id_a, id_b, distance) of images (id, hashes of their four turns, content) within the distance in any turns, id_a < id_b, each once.
 
+    Rows with one id are one image with the hashes of all and the least content,
+    so its distances are the least of any row's; rows with a null id or without
+    hashes are in no pair.
     Ids with the same hashes are nodes of up to NODE ids, so copies are compared
     once. Nodes are stored in blocks of about BLOCK ids, and each pair of blocks
     is one row of a product, which reads the stored blocks: neither hashes by
@@ -86,7 +89,8 @@ def near_images(images: DataFrame, most: int = imaging.MAX_DISTANCE) -> DataFram
     """
     spark = images.sparkSession
     groups.folder(spark)
-    one = images.select("id", F.array_sort(F.array_distinct("hashes")).alias("hashes"), "content")
+    sets = images.where("id is not null").groupBy("id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.min("content").alias("content"))
+    one = sets.withColumn("hashes", F.array_sort(F.array_distinct(F.array_compact("hashes")))).where("size(hashes) > 0")
     every = one.groupBy("hashes").agg(F.collect_list(F.struct("id", "content")).alias("every"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / NODE).cast("int")), lambda i: F.slice("every", i * NODE + 1, NODE))
     nodes = every.select("hashes", F.explode(parts).alias("x")).select("hashes", F.col("x.id").alias("ids"), F.col("x.content").alias("contents")).checkpoint()

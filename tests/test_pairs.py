@@ -78,6 +78,26 @@ def test_copies_among_embeddings_give_the_sql_s_rows(spark, tmp_path, name):
     assert sorted(tuple(x) for x in got.select("id_a", "id_b", "distance").collect()) == sorted(want) and len(want) > 75
 
 
+@pytest.mark.parametrize("name", ["q_near_images", "q_hash_shortcut"])
+@pytest.mark.parametrize("ids", [[*range(12), *range(1_000_000, 1_000_012), *range(2_000_000, 2_000_006)], [i // 2 for i in range(30)], [None if i % 9 == 4 else i for i in range(30)]], ids=["copies have others' ids", "twice", "null"])
+def test_ids_that_repeat_or_are_missing_give_the_sql_s_rows(spark, tmp_path, name, ids):
+    r = random.Random(7)
+    base = [[r.gauss(0, 0.2) for _ in range(64)] for _ in range(6)]
+    t = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array([r.choice(base) for _ in ids], pa.list_(pa.float32())), "label": pa.array([0] * len(ids), pa.int32())})
+    pq.write_table(t, tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = c.execute(f"select id_a, id_b, distance from ({more.ORACLE_SQL[name]})").fetchall()
+    got = more.QUERIES[name](spark, str(tmp_path)).select("id_a", "id_b", "distance")
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and want
+
+
+def test_images_without_hashes_are_in_no_pair(spark):
+    rows = [(1, [5, 5, None, 5], 1), (2, [5, 6, 7, 8], 2), (3, None, 3), (4, None, 4), (5, [], 5), (6, [None] * 4, 6)]
+    df = spark.createDataFrame(rows, "id long, hashes array<long>, content long")
+    assert [tuple(x) for x in lookups.near_images(df).collect()] == [(1, 2, 0)]
+
+
 def test_metadata_pairs_with_missing_sides(spark):
     r = random.Random(4)
     images = [(i, r.choice("xy"), *(r.choice((None, 1, 2)) for _ in range(3)), r.choice((None, 1.0, 1.5, 2.5, 9.0)), r.choice((None, 3, 4, 5))) for i in range(90)]
